@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wrenmill.llm import bpe, match_groups
+from wrenmill.llm import bpe, match_groups, vector_graph
 from wrenmill.runtime import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = vector_graph.near_pairs(table(spark, sf_dir, "document_vectors"), "document_id", "embedding", k=10, size=64)
+    return pairs.select(F.col("a").alias("document_id_a"), F.col("b").alias("document_id_b"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_groups.relation_groups(table(spark, sf_dir, "relation_decisions"))
 
@@ -16,7 +22,7 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p4_found": p4_found, "p8_ids": p8_ids}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p8_ids": p8_ids}
 
 SQL = {
     "p4_found": """
