@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wrenmill.llm import bpe, match_groups, vector_graph
+from wrenmill.llm import bpe, match_groups, sentences, vector_graph
 from wrenmill.runtime import table
 
 
@@ -14,6 +14,18 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("a").alias("document_id_a"), F.col("b").alias("document_id_b"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = table(spark, sf_dir, "records")
+    edges = table(spark, sf_dir, "relation_edges")
+    sample = sentences.training_sample(records, edges.select("document_id", "evidence_text"), "document_id", "text", "evidence_text")
+    chain = sentences.fit(sample)
+    parts = [
+        sentences.split(df, key, text, chain).select(F.lit(name).alias("table_name"), "row_key", "start_pos", "end_pos")
+        for name, df, key, text in (("records", records, "document_id", "text"), ("relation_edges", edges, "uid", "evidence_text"))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_groups.relation_groups(table(spark, sf_dir, "relation_decisions"))
 
@@ -22,7 +34,7 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p8_ids": p8_ids}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p8_ids": p8_ids}
 
 SQL = {
     "p4_found": """
