@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wrenmill.llm import bpe, match_groups, sentences, vector_graph
+from wrenmill.llm import bpe, look_alikes, match_groups, sentences, vector_graph
 from wrenmill.runtime import table
 
 
@@ -26,6 +26,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = look_alikes.same_look_pairs(table(spark, sf_dir, "records"), "document_id", "text")
+    nodes = look_alikes.same_look_pairs(table(spark, sf_dir, "event_nodes"), "uid", "text", within="document_id")
+    return records.select(F.lit("records").alias("table_name"), "key_a", "key_b").unionByName(
+        nodes.select(F.lit("event_nodes").alias("table_name"), "key_a", "key_b")
+    )
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_groups.relation_groups(table(spark, sf_dir, "relation_decisions"))
 
@@ -34,7 +42,7 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p8_ids": p8_ids}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p8_ids": p8_ids}
 
 SQL = {
     "p4_found": """
