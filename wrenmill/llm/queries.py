@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wrenmill.llm import bpe, look_alikes, match_groups, sentences, vector_graph
+from wrenmill.llm import bpe, entity_match, look_alikes, match_groups, sentences, vector_graph
 from wrenmill.runtime import table
 
 
@@ -38,11 +38,19 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_groups.relation_groups(table(spark, sf_dir, "relation_decisions"))
 
 
+def p6_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entity_match.match(table(spark, sf_dir, "records"), table(spark, sf_dir, "work_orders"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_matches(spark, sf_dir).select("document_id", "entry_id")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p8_ids": p8_ids}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p6_matches": p6_matches, "p8_ids": p8_ids}
 
 SQL = {
     "p4_found": """
