@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wrenmill.llm import bpe, entity_match, look_alikes, match_groups, sentences, vector_graph
+from wrenmill.llm import bpe, entity_match, look_alikes, match_groups, sentences, subjects, vector_graph
 from wrenmill.runtime import table
 
 
@@ -50,7 +50,19 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p6_matches": p6_matches, "p8_ids": p8_ids}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model, ids = subjects.fit(documents, table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "subject_areas"))
+    return subjects.assign(documents, model, ids).select("doc_id", "subject_id")
+
+
+def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, areas = table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_areas")
+    model, ids = subjects.fit(documents, table(spark, sf_dir, "subject_labels"), areas)
+    return subjects.composition(subjects.assign(documents, model, ids), areas)
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p6_matches": p6_matches, "p8_ids": p8_ids, "p10_found": p10_found, "p10_composition": p10_composition}
 
 SQL = {
     "p4_found": """
