@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wrenmill.llm import bpe, entity_match, look_alikes, match_groups, sentences, subjects, vector_graph
+from wrenmill.llm import bpe, entity_match, look_alikes, match_groups, mixing, sentences, subjects, vector_graph
 from wrenmill.runtime import table
 
 
@@ -50,6 +50,14 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model, ids = subjects.fit(documents, table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "subject_areas"))
@@ -62,7 +70,7 @@ def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.composition(subjects.assign(documents, model, ids), areas)
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p6_matches": p6_matches, "p8_ids": p8_ids, "p10_found": p10_found, "p10_composition": p10_composition}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p6_matches": p6_matches, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_composition": p10_composition}
 
 SQL = {
     "p4_found": """
