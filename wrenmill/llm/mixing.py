@@ -8,7 +8,8 @@ may belong to). One iteration sums the tokens of each source in the cluster and
 rates are functions of that history, so no state per document is kept between iterations.
 A rate is drawn as whole copies, its fraction by a hash of the id; the draw is the same in every run.
 
-The total defaults to the largest at which every source that has tokens can reach its share. Documents of sources
+The total defaults to the largest that all sources can serve within their caps, but for small ones of together at most
+`slack` of the target, which then contribute all they may. Documents of sources
 without a target, and texts without tokens, are not used. A source without documents reaches a share of 0 and is reported so.
 Targets with a null share or source are left out; repeated target rows count once.
 """
@@ -28,6 +29,7 @@ from wrenmill.runtime import materialize
 SAMPLE = 20_000
 ITERATIONS = 12
 TOLERANCE = 1e-4
+SLACK = 0.05
 
 
 def train(sample: list[tuple[str, int]], classes: int) -> np.ndarray:
@@ -90,7 +92,17 @@ def rates(m: np.ndarray, history: list[np.ndarray], caps: np.ndarray, start: flo
     return r
 
 
-def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, tokenizer: str | None = None, iterations: int = ITERATIONS) -> tuple[DataFrame, DataFrame]:
+def default_total(most: np.ndarray, share: np.ndarray, slack: float) -> float:
+    """The largest total that all sources but some of together at most `slack` of the target can serve."""
+    short = 0.0
+    for i in np.argsort(np.where(share > 0, most / np.maximum(share, 1e-12), np.inf)):
+        if share[i] > 0 and most[i] > 0 and short + share[i] > slack:
+            return float(most[i] / share[i])
+        short += share[i]
+    return 0.0
+
+
+def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, slack: float = SLACK, tokenizer: str | None = None, iterations: int = ITERATIONS) -> tuple[DataFrame, DataFrame]:
     """(doc_id, source, n_tokens, rate, copies) of every document used, and per source target and reached share."""
     spark = documents.sparkSession
     wanted = targets.filter("source IS NOT NULL AND target_share IS NOT NULL").groupBy("source").agg(F.max("target_share").alias("w"), F.max("max_repeats").alias("c"))
@@ -102,7 +114,7 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, to
     docs = documents.filter("doc_id IS NOT NULL AND text IS NOT NULL")
     sample = docs.filter(F.col("source").isin(sources)).select("text", "source").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect() if docs.filter("source IS NULL").limit(1).count() else []
     weight = train([(r["text"], sources.index(r["source"])) for r in sample], k) if sample else None
-    prior = np.bincount([sources.index(r["source"]) for r in sample], minlength=k) + 0.5 if sample else np.ones(k)
+    prior = np.bincount([sources.index(r["source"]) for r in sample], minlength=k) + 1e-6 if sample else np.ones(k)
     counted = bpe.encode(docs, "doc_id", "text", tokenizer, count_only=True).filter("n_tokens > 0")
     known = docs.filter(F.col("source").isNull() | F.col("source").isin(sources))
     members = known.select("doc_id", "source", "text").mapInPandas(_members(weight, prior / prior.sum(), sources), "doc_id bigint, m array<double>")
@@ -118,7 +130,7 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, to
     have = totals([], 1.0)
     most = have * caps
     open_ = (most > 0) & (share > 0)
-    budget = float(total) if total else float((most[open_] / share[open_]).min()) if open_.any() else 0.0
+    budget = float(total) if total else default_total(most, share, slack)
     goal = share * budget
     history: list[np.ndarray] = []
     for _ in range(iterations):
