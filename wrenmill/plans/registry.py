@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
+from wrenmill.plans import text_queries
+
+FLAGSHIP = "t4_mention_similarity"
 QUERIES: dict = {}
 SQL: dict = {}
+for module in (text_queries,):
+    QUERIES |= module.QUERIES
+    SQL |= module.SQL
