@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wrenmill.runtime import materialize
+
 # Letters of other alphabets with the shape of a Latin letter.
 SAME_SHAPE = {
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "Ү": "Y",
@@ -160,12 +162,14 @@ def same_look_pairs(rows: DataFrame, key: str, text: str, within: str | None = N
     some = rows.select(*keep).filter("__k IS NOT NULL AND __t IS NOT NULL" + (" AND __w IS NOT NULL" if within else ""))
     seen = some.withColumn("__c", canonical_column(F.col("__t"))).filter(F.length(F.trim(F.translate("__c", "\n\r\t\x0b\x0c", "     "))) > 0)
     place = [F.col("__w")] if within else []
+    # written once: the hashes feed the search for mixed looks and both sides of the join
     hashed = seen.select(
         "__k",
         F.xxhash64("__c", *place).alias("c1"),
         F.xxhash64(F.lit(1), "__c", *place).alias("c2"),
         F.xxhash64("__t").alias("r1"),
     ).distinct()
+    hashed = materialize(hashed, "p3-looks")
     mixed = hashed.groupBy("c1", "c2").agg((F.min("r1") != F.max("r1")).alias("mixed")).filter("mixed").select("c1", "c2")
     left = hashed.join(mixed, ["c1", "c2"], "left_semi")
     a = left.select("c1", "c2", F.col("__k").alias("key_a"), F.col("r1").alias("ra"))
