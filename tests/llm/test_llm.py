@@ -46,6 +46,20 @@ def test_equal_vectors_and_few(spark):
     assert vector_graph.near_pairs(df.limit(1), "document_id", "embedding").count() == 0
 
 
+def test_greedy_search_against_brute_force(spark):
+    rng = np.random.default_rng(2)
+    centers = rng.standard_normal((8, 64))
+    m = centers[rng.integers(0, 8, 600)] + 0.5 * rng.standard_normal((600, 64))
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)] + [(900, None)], "i bigint, v array<float>")
+    got = {}
+    for r in vector_graph.search(df, df.filter("i % 20 = 0"), "i", "v").collect():
+        got.setdefault(r.query_id, set()).add(r.other)
+    u = m / np.linalg.norm(m, axis=1)[:, None]
+    hits = sum(len(got[q] & set(x for x in np.argsort(-(u @ u[q]))[:11] if x != q)) for q in range(0, 600, 20))
+    assert hits / 300 >= 0.95
+    assert vector_graph.search(df.limit(0), df, "i", "v").count() == 0
+
+
 # --- sentences
 
 

@@ -14,6 +14,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("a").alias("document_id_a"), F.col("b").alias("document_id_b"))
 
 
+def p1_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries are the embeddings whose id is divisible by 100, against all."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vector_graph.search(vectors, vectors.filter(F.col("vec_id") % 100 == 0), "vec_id", "embedding").select("query_id", "other", "rank")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = table(spark, sf_dir, "records")
     edges = table(spark, sf_dir, "relation_edges")
@@ -70,7 +76,7 @@ def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.composition(subjects.assign(documents, model, ids), areas)
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p6_matches": p6_matches, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_composition": p10_composition}
+QUERIES = {"p1_found": p1_found, "p1_search": p1_search, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p6_matches": p6_matches, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_composition": p10_composition}
 
 SQL = {
     "p4_found": """

@@ -37,6 +37,8 @@ ROUNDS = 8
 PIECE = 48
 CHANGED = 0.004
 SEED = 20_231
+#: Entry nodes of a search in each leaf: clusters far apart share no edge, so a search must enter the right one.
+DOORS = 64
 
 
 # --- nodes ------------------------------------------------------------------------------------------------
@@ -102,28 +104,41 @@ class Tree:
         return out
 
 
-def _nodes(unit: DataFrame, n: int, trees: int, seed: int) -> DataFrame:
-    """(node, half, full, leaves): a number for each vector, its bytes, and its leaf in every tree."""
+class Forest:
+    """The trees, and beyond the sample's resolution signs of random projections that cut their leaves on."""
+
+    def __init__(self, sample: np.ndarray, n: int, trees: int, seed: int) -> None:
+        rng = np.random.default_rng(seed)
+        leaf = max(8, int(LEAF * min(1.0, len(sample) / max(1, n))))
+        self.trees = [Tree(sample, leaf, rng, i % 2 == 0) for i in range(trees)]
+        self.bits = max(0, int(np.floor(np.log2(max(1.0, n / (LEAF * max(1, len(sample) // leaf)))))))
+        self.planes = rng.standard_normal((trees, self.bits, sample.shape[1])).astype(np.float32) if self.bits else None
+
+    def place(self, x: np.ndarray) -> np.ndarray:
+        places = np.stack([t.place(x) for t in self.trees], 1)
+        if self.planes is None:
+            return places
+        signs = [(x @ own.T > 0) @ (1 << np.arange(self.bits)) for own in self.planes]
+        return (places << self.bits) | np.stack(signs, 1)
+
+
+def forest(unit: DataFrame, n: int, trees: int = TREES, seed: int = SEED) -> Forest:
+    """Fitted on the first SAMPLE vectors in hash order."""
     sample = np.array([r[0] for r in unit.select("v").orderBy(F.xxhash64("v"), "v").limit(SAMPLE).collect()], np.float32)
-    rng = np.random.default_rng(seed)
-    leaf = max(8, int(LEAF * min(1.0, len(sample) / max(1, n))))
-    forest = [Tree(sample, leaf, rng, i % 2 == 0) for i in range(trees)]
-    # beyond the sample's resolution leaves are cut on by signs of random projections
-    bits = max(0, int(np.floor(np.log2(max(1.0, n / (LEAF * max(1, len(sample) // leaf)))))))
-    planes = rng.standard_normal((trees, bits, sample.shape[1])).astype(np.float32) if bits else None
+    return Forest(sample, n, trees, seed)
+
+
+def _nodes(unit: DataFrame, woods: Forest) -> DataFrame:
+    """(node, half, full, leaves): a number for each vector, its bytes, and its leaf in every tree."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if not len(pdf):
                 continue
             x = np.array(pdf["v"].tolist(), np.float32)
-            places = np.stack([t.place(x) for t in forest], 1)
-            if planes is not None:
-                signs = [(x @ own.T > 0) @ (1 << np.arange(bits)) for own in planes]
-                places = (places << bits) | np.stack(signs, 1)
             half = x.astype(np.float16)
             yield pd.DataFrame(
-                {"node": pdf["node"], "half": [h.tobytes() for h in half], "full": [f.tobytes() for f in x], "leaves": list(places)}
+                {"node": pdf["node"], "half": [h.tobytes() for h in half], "full": [f.tobytes() for f in x], "leaves": list(woods.place(x))}
             )
 
     return unit.select("node", "v").mapInPandas(run, "node bigint, half binary, full binary, leaves array<bigint>")
@@ -350,7 +365,7 @@ def nearest(vectors: DataFrame, key: str, vector: str, k: int = 10, size: int =
     folded = part.groupBy("v").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"), F.sum("n").alias("n"))
     folded = materialize(folded.withColumn("node", F.monotonically_increasing_id()), "p1-folded")
     distinct = folded.count()
-    nodes = materialize(_nodes(folded, distinct, TREES, SEED), "p1-nodes")
+    nodes = materialize(_nodes(folded, forest(folded, distinct)), "p1-nodes")
     if distinct > 1:
         graph = neighbour_graph(nodes, distinct, max(keep, k), rounds, report)
         close = ranked(graph, nodes, max(spark.sparkContext.defaultParallelism, -(-distinct * keep // 500_000)))
@@ -377,3 +392,53 @@ def near_pairs(vectors: DataFrame, key: str, vector: str, k: int = 10, size: int
     """Distinct pairs (a, b), a < b, in which one is among the k most similar of the other."""
     out = nearest(vectors, key, vector, k, size, report=report)
     return out.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+
+
+# --- search -------------------------------------------------------------------------------------------------
+
+
+def search(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 10, size: int = 64, beam: int = 32, hops: int = 12) -> DataFrame:
+    """(query_id, other, similarity, rank): the k most similar vectors of every query, by greedy search of the neighbour graph.
+
+    A query enters at DOORS nodes of its leaf in every tree, expands the best unexpanded of its `beam` best nodes
+    along the edges of both directions, and ends when none is left or after `hops`. Vectors with the query's own id are no answer.
+    Ties by smaller id; unusable vectors take no part on either side.
+    """
+    from pyspark.sql import Window
+
+    spark = vectors.sparkSession
+    kind = vectors.schema[key].dataType.simpleString()
+    unit = materialize(usable_vectors(vectors, key, vector, size).withColumn("node", F.monotonically_increasing_id()), "search-unit")
+    asked = materialize(usable_vectors(queries, key, vector, size).withColumn("node", F.monotonically_increasing_id()), "search-queries")
+    n = unit.count()
+    if n < 2 or not asked.limit(1).count():
+        return spark.createDataFrame([], f"query_id {kind}, other {kind}, similarity double, rank int")
+    woods = forest(unit, n)
+    nodes = materialize(_nodes(unit, woods), "search-nodes")
+    edges = neighbour_graph(nodes, n).select("p", "q")
+    edges = materialize(edges.unionByName(edges.select(F.col("q").alias("p"), F.col("p").alias("q"))).distinct(), "search-edges")
+    leaf = lambda df: df.select("node", F.posexplode("leaves").alias("tree", "leaf"))
+    doors = leaf(nodes).groupBy("tree", "leaf", F.pmod(F.xxhash64("node"), F.lit(DOORS))).agg(F.min("node").alias("node"))
+    ask = asked.select(F.col("id").alias("query_id"), F.col("v").alias("vq"))
+    places = leaf(_nodes(asked, woods)).withColumnRenamed("node", "at").join(asked.select(F.col("node").alias("at"), F.col("id").alias("query_id")), "at")
+    fresh = places.join(doors, ["tree", "leaf"]).select("query_id", "node").distinct()
+    best_first = Window.partitionBy("query_id").orderBy(F.desc("s"), "id")
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        full = pairs.join(ask, "query_id").join(unit.select("node", "id", "v"), "node").filter("id <> query_id")
+        return full.select("query_id", "node", "id", F.aggregate(F.zip_with("vq", "v", lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x).alias("s"), F.lit(False).alias("done"))
+
+    held = None
+    for _ in range(hops):
+        new = scored(fresh)
+        every = new if held is None else held.unionByName(new)
+        kept = materialize(every.withColumn("r", F.row_number().over(best_first)).filter(F.col("r") <= beam).drop("r"), "search-beam")
+        frontier = kept.filter("NOT done")
+        if not frontier.limit(1).count():
+            held = kept
+            break
+        steps = frontier.select("query_id", F.col("node").alias("p")).join(edges, "p").select("query_id", F.col("q").alias("node")).distinct()
+        fresh = materialize(steps.join(kept.select("query_id", "node"), ["query_id", "node"], "left_anti"), "search-steps")
+        held = kept.withColumn("done", F.lit(True))
+    out = held.withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= k)
+    return out.select("query_id", F.col("id").alias("other"), F.least(F.col("s"), F.lit(1.0)).alias("similarity"), "rank")
