@@ -8,7 +8,8 @@ Null texts have no tokens and give no candidates; records without a usable vecto
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -146,41 +147,139 @@ def conflicts(pairs: DataFrame, profile: DataFrame, soft: float = 0.35) -> DataF
     return out.withColumn("conflict_score", value).drop("systems_a", "systems_b", "components_a", "components_b", "damage_a", "damage_b")
 
 
+def judged(top: DataFrame, records: DataFrame, config: ResolutionConfig = ResolutionConfig()) -> DataFrame:
+    """Candidates with conflicts and the score after the veto."""
+    final = F.when(F.col("hard"), 0.0).otherwise(F.col("score"))
+    return conflicts(top, profiles(records)).withColumn("final_score", final).withColumn("same_case", final > config.threshold)
+
+
 def decisions(queries: DataFrame, records: DataFrame, vectors: DataFrame, config: ResolutionConfig = ResolutionConfig()) -> DataFrame:
     """Candidate decisions of the queries: scores, conflicts, and the score after the veto."""
     recs = clean_records(records)
     weights = bm25_weights(postings(recs), recs, config)
     top = candidates(hybrid(symmetric_bm25(queries, weights), unit_vectors(vectors), config), config.top_k)
-    judged = conflicts(top, profiles(recs))
-    final = F.when(F.col("hard"), 0.0).otherwise(F.col("score"))
-    return judged.withColumn("final_score", final).withColumn("same_case", final > config.threshold)
+    return judged(top, recs, config)
+
+
+def _search_block(config: ResolutionConfig, batch: int = 128) -> Callable:
+    """The top_k documents of a block for every query of another, from the block's postings; every document is scored."""
+
+    def flat(rows: pd.Series, kind: type) -> np.ndarray:
+        return np.concatenate([np.asarray(x, kind) for x in rows]) if len(rows) else np.zeros(0, kind)
+
+    def units(rows: pd.Series) -> np.ndarray:
+        none = np.zeros(64)
+        return np.array([none if x is None else x for x in rows], np.float64).reshape(len(rows), 64)
+
+    def run(docs: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        names = ["query_id", "document_id", "bm25", "cosine", "score"]
+        if not len(docs) or not len(asked):
+            return pd.DataFrame([], columns=names)
+        docs = docs.sort_values("document_id", ignore_index=True)
+        n = len(docs)
+        own = docs["own"].to_numpy(np.float64)
+        share = np.divide(1.0, own, out=np.zeros(n), where=own > 0)
+        lengths = docs["tokens"].map(len).to_numpy()
+        token, weight, at = flat(docs["tokens"], np.int64), flat(docs["w"], np.float64), np.repeat(np.arange(n, dtype=np.int32), lengths)
+        order = np.argsort(token, kind="stable")
+        token, weight, at = token[order], weight[order], at[order]
+        part = share[at]
+        v = units(docs["v"])
+        ids = docs["document_id"].to_numpy()
+        place = {x: i for i, x in enumerate(ids)}
+        out = []
+        k = min(config.top_k, n)
+        for c in range(0, len(asked), batch):
+            some = asked.iloc[c : c + batch]
+            cosines = np.clip(units(some["q_v"]) @ v.T, 0.0, 1.0)
+            for row, (q, tokens, ws, mine) in enumerate(zip(some["q_document_id"], some["q_tokens"], some["q_w"], some["q_own"])):
+                there, back = np.zeros(n), np.zeros(n)
+                tokens = np.asarray(tokens, np.int64)
+                for lo, hi, w in zip(np.searchsorted(token, tokens, "left"), np.searchsorted(token, tokens, "right"), ws):
+                    if hi > lo:
+                        d = at[lo:hi]
+                        there[d] += weight[lo:hi]
+                        back[d] += w * part[lo:hi]
+                bm25 = np.clip((there / mine if mine > 0 else there) / 2 + back / 2, 0.0, 1.0)
+                score = config.bm25_weight * bm25 + config.vector_weight * cosines[row]
+                if q in place:
+                    score[place[q]] = -1.0
+                least = -np.partition(-score, k - 1)[k - 1]
+                best = np.flatnonzero(score >= least - 2e-9)
+                best = best[np.lexsort((best, -np.round(score[best], 9)))][:k]
+                best = best[score[best] >= 0]
+                out.append((np.full(len(best), q, object), ids[best], bm25[best], cosines[row][best], score[best]))
+        return pd.DataFrame(dict(zip(names, (np.concatenate(x) for x in zip(*out)))))
+
+    return run
+
+
+def all_candidates(records: DataFrame, vectors: DataFrame, config: ResolutionConfig = ResolutionConfig(), block: int = 25_000) -> DataFrame:
+    """The top_k others of every record (query_id, document_id, bm25, cosine, score, rank), as all records were queries.
+
+    Blocks of at most about `block` records meet blocks of records: nothing is left out, also pairs without a shared token are
+    scored, and the work grows with the square of the records. Memory is bounded by the block.
+    """
+    from wrenmill.runtime import materialize
+
+    recs = clean_records(records)
+    w = bm25_weights(postings(recs), recs, config)
+    lists = w.groupBy("document_id").agg(F.collect_list(F.struct(F.xxhash64("token").alias("t"), "w")).alias("l"), F.sum("w").alias("own"))
+    full = recs.select("document_id").join(lists, "document_id", "left").join(unit_vectors(vectors), "document_id", "left")
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind))
+    full = full.select("document_id", none(F.col("l")["t"], "array<bigint>").alias("tokens"), none(F.col("l")["w"], "array<double>").alias("w"), F.coalesce("own", F.lit(0.0)).alias("own"), "v")
+    full = materialize(full, "case-lists")
+    n = full.count()
+    blocks = max(1, -(-n // block))
+    parts = max(blocks, -(-2 * records.sparkSession.sparkContext.defaultParallelism // blocks)) if n > 2000 else blocks
+    spread = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    number = lambda k: F.pmod(F.xxhash64("document_id"), F.lit(k)).cast("int")
+    docs = full.select(number(blocks).alias("block"), spread(parts).alias("part"), "*").repartition(blocks * parts, "block", "part")
+    asked = full.select(spread(blocks).alias("block"), number(parts).alias("part"), *[F.col(c).alias(f"q_{c}") for c in full.columns]).repartition(blocks * parts, "block", "part")
+    found = docs.groupBy("block", "part").cogroup(asked.groupBy("block", "part")).applyInPandas(_search_block(config), "query_id string, document_id string, bm25 double, cosine double, score double")
+    return candidates(found, config.top_k)
 
 
 def average_linkage(ids: list[str], similarity: dict[tuple[str, str], float], threshold: float) -> list[list[str]]:
-    """Groups of average-linkage clustering; pairs without a similarity count as 0; merges need more than the threshold."""
+    """Groups of average-linkage clustering; pairs without a similarity count as 0; merges need more than the threshold.
+
+    Only pairs of groups with a similarity are held, so the cost goes with the pairs given, not with the square of the ids.
+    """
     order = sorted(ids)
-    n = len(order)
     at = {x: i for i, x in enumerate(order)}
-    total = np.zeros((n, n))
+    total: list[dict[int, float]] = [{} for _ in order]
     for (a, b), s in similarity.items():
-        total[at[a], at[b]] = total[at[b], at[a]] = s
-    size = np.ones(n)
-    alive = np.ones(n, bool)
+        if a != b:
+            total[at[a]][at[b]] = total[at[b]][at[a]] = s
+    size = [1] * len(order)
     groups = [[x] for x in order]
-    while alive.sum() > 1:
-        mean = np.where(alive[:, None] & alive[None, :], total / np.outer(size, size), -1.0)
-        np.fill_diagonal(mean, -1.0)
-        i, j = np.unravel_index(mean.argmax(), mean.shape)
-        if 1.0 - mean[i, j] >= 1.0 - threshold:
-            break
-        i, j = min(i, j), max(i, j)
-        total[i] += total[j]
-        total[:, i] += total[:, j]
-        total[i, i] = 0
+    heap: list[tuple[float, int, int]] = []
+
+    def offer(i: int, j: int) -> None:
+        mean = total[i][j] / (size[i] * size[j])
+        if 1.0 - mean < 1.0 - threshold:
+            heapq.heappush(heap, (-mean, min(i, j), max(i, j)))
+
+    for i, near in enumerate(total):
+        for j in near:
+            if i < j:
+                offer(i, j)
+    while heap:
+        mean, i, j = heapq.heappop(heap)
+        # an entry is stale if a side is gone or has grown since
+        if j not in total[i] or -mean != total[i][j] / (size[i] * size[j]):
+            continue
+        gone, total[j] = total[j], {}
+        del gone[i], total[i][j]
         size[i] += size[j]
         groups[i] += groups[j]
-        alive[j] = False
-    return [sorted(groups[i]) for i in range(n) if alive[i]]
+        groups[j] = []
+        for k, s in gone.items():
+            del total[k][j]
+            total[i][k] = total[k][i] = total[i].get(k, 0.0) + s
+        for k in total[i]:
+            offer(i, k)
+    return [sorted(g) for g in groups if g]
 
 
 def cluster(pairs: DataFrame, ids: DataFrame, threshold: float) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wrenmill.operators import relation_states as r
 from wrenmill.operators import resolution as res
 from wrenmill.plans import text_queries as tq
-from wrenmill.runtime import table
+from wrenmill.runtime import materialize, table
 
 
 def searched(spark: SparkSession, d: str) -> DataFrame:
@@ -66,9 +66,11 @@ def d4_pair_decisions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def g1_cases(spark: SparkSession, d: str) -> DataFrame:
-    out = res.decisions(searched(spark, d), table(spark, d, "records"), table(spark, d, "document_vectors"))
+    """Cases of all records; every record is a query here, not only those of searched()."""
+    records = table(spark, d, "records")
+    out = res.judged(res.all_candidates(records, table(spark, d, "document_vectors")), res.clean_records(records))
     pairs = out.select(F.col("query_id").alias("a"), F.col("document_id").alias("b"), F.col("final_score").alias("score"))
-    return res.cluster(pairs, table(spark, d, "records"), 0.40817840781035897)
+    return res.cluster(materialize(pairs, "case-pairs"), records, 0.40817840781035897)
 
 
 def relation_pairs(spark: SparkSession, d: str) -> DataFrame:
