@@ -35,3 +35,17 @@ def test_all_candidates_equal_the_search_with_all_queries(spark):
     kept = lambda df: {(r.query_id, r.document_id): (r["rank"], round(r.score, 6)) for r in df.collect()}
     config = resolution.ResolutionConfig(top_k=4)
     assert kept(resolution.all_candidates(records, vectors, config, block=15)) == kept(resolution.decisions(records.select("document_id"), records, vectors, config))
+
+
+NODES = "uid string, case_id string, document_id string, role string, text string, score double"
+EDGES = "uid string, case_id string, head_uid string, tail_uid string, relation_type string"
+
+
+def test_g20_lists_pairs_without_arcs_and_finds_near_vectors(spark, tmp_path):
+    said = {"C_100": ["shared seal leak"] + [f"left finding {i}" for i in range(30)], "C_201": ["shared seal leak"] + [f"right finding {i}" for i in range(30)], "C_301": ["shared seal leak"]}
+    nodes = [(f"{c}:{i}", c, f"D{c}", "PHENOMENON", x, 1.0) for c, xs in said.items() for i, x in enumerate(xs)]
+    vectors = [("DC_100", axis(0)), ("DC_201", axis(0)), ("DC_301", axis(1))]
+    d = write(spark, tmp_path, event_nodes=(nodes, NODES), relation_edges=([], EDGES), document_vectors=(vectors, VECTORS))
+    got = {(r.a, r.b): (r.potential, r.distortion, r.truncated, r.risk) for r in entry.queries()["g20_closure_risk"](spark, d).collect()}
+    assert got[("C_100", "C_201")] == (0, 0.0, False, "D_bge_high_structure_low")
+    assert got[("C_100", "C_301")] == (0, 0.0, False, "safe_or_low_risk_control")
