@@ -49,3 +49,12 @@ def test_g20_lists_pairs_without_arcs_and_finds_near_vectors(spark, tmp_path):
     got = {(r.a, r.b): (r.potential, r.distortion, r.truncated, r.risk) for r in entry.queries()["g20_closure_risk"](spark, d).collect()}
     assert got[("C_100", "C_201")] == (0, 0.0, False, "D_bge_high_structure_low")
     assert got[("C_100", "C_301")] == (0, 0.0, False, "safe_or_low_risk_control")
+
+
+def test_g24_lists_all_cases_and_joins_those_that_are_no_query(spark, tmp_path):
+    said = {"C_101": "seal leak", "C_102": "seal leak", "C_103": "cracked blade", "C_104": "lost rivet"}
+    nodes = [(f"{c}:0", c, f"D{c}", "PHENOMENON", x, 1.0) for c, x in said.items()]
+    vectors = [("DC_101", axis(0)), ("DC_102", axis(0)), ("DC_103", axis(1))]
+    d = write(spark, tmp_path, event_nodes=(nodes, NODES), relation_edges=([], EDGES), document_vectors=(vectors, VECTORS))
+    topic = {r.node: r.topic for r in entry.queries()["g24_backbone"](spark, d).collect()}
+    assert topic == {"C_101": "C_101", "C_102": "C_101", "C_103": "C_103", "C_104": "C_104"}

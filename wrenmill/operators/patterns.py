@@ -79,6 +79,15 @@ def weighted_jaccard(queries: DataFrame, feats: DataFrame, idf: DataFrame) -> Da
     return full.select("query_case", "case_id", (F.col("shared") / (F.col("total") + F.col("own") - F.col("shared"))).alias("evidence"))
 
 
+def pair_jaccard(pairs: DataFrame, feats: DataFrame, idf: DataFrame) -> DataFrame:
+    """pairs (a, b) with evidence, 0 where they share no feature."""
+    weighted = feats.join(idf.select("feature", "idf"), "feature")
+    total = weighted.groupBy("case_id").agg(F.sum("idf").alias("total"))
+    inter = pairs.select("a", "b").join(weighted.withColumnRenamed("case_id", "a"), "a").join(feats.withColumnRenamed("case_id", "b"), ["b", "feature"]).groupBy("a", "b").agg(F.sum("idf").alias("shared"))
+    full = pairs.join(inter, ["a", "b"], "left").join(total.select(F.col("case_id").alias("a"), F.col("total").alias("ta")), "a", "left").join(total.select(F.col("case_id").alias("b"), F.col("total").alias("tb")), "b", "left")
+    return full.withColumn("evidence", F.coalesce(F.col("shared") / (F.col("ta") + F.col("tb") - F.col("shared")), F.lit(0.0))).drop("shared", "ta", "tb")
+
+
 def closure(pairs: DataFrame, inst: DataFrame, cap: int = 20_000) -> DataFrame:
     """(a, b, potential, admitted, unsupported, highest, distortion, truncated): what the transitions of two cases recombine to.
 

@@ -74,12 +74,16 @@ def s25_evidence_features(spark: SparkSession, d: str) -> DataFrame:
     return patterns.features(mapped, arc, patterns.instances(arc)).filter("case_id IS NOT NULL")
 
 
-def _evidence(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _features(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     mapped, arc = _arcs(spark, d)
     inst = materialize(patterns.instances(arc), "patterns")
     feats = materialize(patterns.features(mapped, arc, inst).filter("case_id IS NOT NULL"), "features")
+    return inst, feats, patterns.feature_idf(feats, feats.select("case_id").distinct().count())
+
+
+def _evidence(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    inst, feats, idf = _features(spark, d)
     queries = feats.select("case_id").distinct().filter(F.regexp_extract("case_id", r"(\d+)$", 1).cast("bigint") % 100 == 0)
-    idf = patterns.feature_idf(feats, feats.select("case_id").distinct().count())
     return inst, feats, patterns.weighted_jaccard(queries, feats, idf)
 
 
