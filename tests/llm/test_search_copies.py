@@ -1,0 +1,26 @@
+"""The search of outside queries where a third of the vectors are copies of one."""
+
+import numpy as np
+
+from wrenmill.llm import vector_graph
+
+
+def test_search_with_copies_equals_brute_force(spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((120, 64))
+    near = x[0] + rng.standard_normal((30, 64)) * 0.05
+    every = np.concatenate([near, x, np.repeat(x[:1], 80, 0)])
+    rows = [(i, v.tolist()) for i, v in enumerate(every)]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    asked = [0, 5, 30, 60, 200]
+    got = {}
+    for r in vector_graph.search(vectors, vectors.filter(vectors.vec_id.isin(asked)), "vec_id", "embedding").collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.other
+    unit = every / np.linalg.norm(every, axis=1, keepdims=True)
+    hits = 0
+    for q in asked:
+        s = np.round(unit @ unit[q], 9)
+        want = [i for i in np.lexsort((np.arange(len(s)), -s)) if i != q][:10]
+        hits += len(set(want) & set(got[q].values()))
+    assert hits >= 0.9 * 10 * len(asked)
+    assert [got[200][r] for r in range(1, 11)] == [30, *range(150, 159)]

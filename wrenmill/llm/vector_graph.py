@@ -349,6 +349,16 @@ def ranked(graph: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
     return rows.repartition(parts, "block").sortWithinPartitions("block", F.desc("own")).mapInPandas(_exact, "p bigint, q bigint, s double")
 
 
+def _folded(unit: DataFrame, n: int, k: int) -> DataFrame:
+    """(v, ids, n, node): equal vectors are one node; of its ids the k + 1 smallest can be anyone's neighbours."""
+    salts = max(1, n // 100_000)
+    part = unit.groupBy("v", F.pmod(F.xxhash64("id"), F.lit(salts)).alias("__salt")).agg(
+        F.slice(F.array_sort(F.collect_set("id")), 1, k + 1).alias("ids"), F.count(F.lit(1)).alias("n")
+    )
+    folded = part.groupBy("v").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"), F.sum("n").alias("n"))
+    return folded.withColumn("node", F.monotonically_increasing_id())
+
+
 def nearest(vectors: DataFrame, key: str, vector: str, k: int = 10, size: int = 64, keep: int = KEEP, rounds: int = ROUNDS, report: list | None = None) -> DataFrame:
     """(id, other, similarity, rank): the k most similar others of every usable vector; ties by smaller id."""
     spark = vectors.sparkSession
@@ -357,13 +367,7 @@ def nearest(vectors: DataFrame, key: str, vector: str, k: int = 10, size: int =
     kind = vectors.schema[key].dataType.simpleString()
     if n < 2:
         return spark.createDataFrame([], f"id {kind}, other {kind}, similarity double, rank int")
-    # equal vectors are one node; of its ids the k + 1 smallest can be anyone's neighbours
-    salts = max(1, n // 100_000)
-    part = unit.groupBy("v", F.pmod(F.xxhash64("id"), F.lit(salts)).alias("__salt")).agg(
-        F.slice(F.array_sort(F.collect_set("id")), 1, k + 1).alias("ids"), F.count(F.lit(1)).alias("n")
-    )
-    folded = part.groupBy("v").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"), F.sum("n").alias("n"))
-    folded = materialize(folded.withColumn("node", F.monotonically_increasing_id()), "p1-folded")
+    folded = materialize(_folded(unit, n, k), "p1-folded")
     distinct = folded.count()
     nodes = materialize(_nodes(folded, forest(folded, distinct)), "p1-nodes")
     if distinct > 1:
@@ -401,21 +405,22 @@ def search(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int
     """(query_id, other, similarity, rank): the k most similar vectors of every query, by greedy search of the neighbour graph.
 
     A query enters at DOORS nodes of its leaf in every tree, expands the best unexpanded of its `beam` best nodes
-    along the edges of both directions, and ends when none is left or after `hops`. Vectors with the query's own id are no answer.
-    Ties by smaller id; unusable vectors take no part on either side.
+    along the edges of both directions, and ends when none is left or after `hops`. Equal vectors are one node, which gives its
+    k + 1 smallest ids at the end. Vectors with the query's own id are no answer. Ties by smaller id; unusable vectors take no part on either side.
     """
     from pyspark.sql import Window
 
     spark = vectors.sparkSession
     kind = vectors.schema[key].dataType.simpleString()
-    unit = materialize(usable_vectors(vectors, key, vector, size).withColumn("node", F.monotonically_increasing_id()), "search-unit")
+    every_unit = materialize(usable_vectors(vectors, key, vector, size), "search-every")
     asked = materialize(usable_vectors(queries, key, vector, size).withColumn("node", F.monotonically_increasing_id()), "search-queries")
-    n = unit.count()
-    if n < 2 or not asked.limit(1).count():
+    if not every_unit.limit(1).count() or not asked.limit(1).count():
         return spark.createDataFrame([], f"query_id {kind}, other {kind}, similarity double, rank int")
+    unit = materialize(_folded(every_unit, every_unit.count(), k).withColumn("id", F.col("ids")[0]), "search-unit")
+    n = unit.count()
     woods = forest(unit, n)
     nodes = materialize(_nodes(unit, woods), "search-nodes")
-    edges = neighbour_graph(nodes, n).select("p", "q")
+    edges = neighbour_graph(nodes, n).select("p", "q") if n > 1 else spark.createDataFrame([], "p bigint, q bigint")
     edges = materialize(edges.unionByName(edges.select(F.col("q").alias("p"), F.col("p").alias("q"))).distinct(), "search-edges")
     leaf = lambda df: df.select("node", F.posexplode("leaves").alias("tree", "leaf"))
     doors = leaf(nodes).groupBy("tree", "leaf", F.pmod(F.xxhash64("node"), F.lit(DOORS))).agg(F.min("node").alias("node"))
@@ -425,14 +430,14 @@ def search(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int
     best_first = Window.partitionBy("query_id").orderBy(F.desc("s"), "id")
 
     def scored(pairs: DataFrame) -> DataFrame:
-        full = pairs.join(ask, "query_id").join(unit.select("node", "id", "v"), "node").filter("id <> query_id")
+        full = pairs.join(ask, "query_id").join(unit.select("node", "id", "v"), "node")
         return full.select("query_id", "node", "id", F.aggregate(F.zip_with("vq", "v", lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x).alias("s"), F.lit(False).alias("done"))
 
     held = None
     for _ in range(hops):
         new = scored(fresh)
         every = new if held is None else held.unionByName(new)
-        kept = materialize(every.withColumn("r", F.row_number().over(best_first)).filter(F.col("r") <= beam).drop("r"), "search-beam")
+        kept = materialize(every.withColumn("r", F.row_number().over(best_first)).filter(F.col("r") <= max(beam, k + 1)).drop("r"), "search-beam")
         frontier = kept.filter("NOT done")
         if not frontier.limit(1).count():
             held = kept
@@ -440,5 +445,6 @@ def search(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int
         steps = frontier.select("query_id", F.col("node").alias("p")).join(edges, "p").select("query_id", F.col("q").alias("node")).distinct()
         fresh = materialize(steps.join(kept.select("query_id", "node"), ["query_id", "node"], "left_anti"), "search-steps")
         held = kept.withColumn("done", F.lit(True))
-    out = held.withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= k)
+    options = held.join(unit.select("node", "ids"), "node").select("query_id", "s", F.explode("ids").alias("id")).filter("id <> query_id")
+    out = options.withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= k)
     return out.select("query_id", F.col("id").alias("other"), F.least(F.col("s"), F.lit(1.0)).alias("similarity"), "rank")
