@@ -1,10 +1,13 @@
 """Deeply nested JSON records as related flat tables.
 
-Every JSON value is classified bottom-up by a deterministic tree automaton: leaves take a type
-state, arrays the state of their merged elements, objects the class (graph, node, view, relation,
-envelope, alien) their fields and child states lead to, with a signature of (field, type) pairs.
-Objects are routed by class to supertype tables whose rows keep the common keys, the parent link
-and the variant; subtype_table() projects one variant's own fields with their types.
+A tree automaton reads every JSON value bottom-up. Leaves take a type state, arrays the least state that covers their elements, and an object the
+signature of its (field, state) pairs together with two marks: it lists records itself (nodes, entities or relations), or a graph lies somewhere
+below it. The marks decide the run at the top: an object with a list of `graphs`, or one without lists of its own above a graph at whatever
+depth, is an envelope; an object with lists or a document_id is a graph; anything else is alien. Inside a graph the
+lists give the classes node and relation, the list of a node the class view.
+
+Objects are routed by class into supertype tables (one partition folder each) that keep the common keys, the parent link
+and the variant, which is the object's signature; subtype_table() gives one variant with its own fields, typed by the automaton.
 
 Lines that are no complete JSON object give nothing. A null array counts as absent, an element that
 is no object is skipped, an object without an id keeps a null key and its ordinal. Numbers used as
@@ -15,17 +18,23 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wrenmill.runtime import materialize
+
 # Alternate spellings, the first that is present wins.
 NODE_ID = ("event_id", "entity_id", "node_id")
 RELATION_ID = ("relation_id", "id")
 HEAD_ID = ("head_event_id", "head")
 TAIL_ID = ("tail_event_id", "tail")
 NODE_LISTS = ("nodes", "entities")
+RECORD_LISTS = ("nodes", "entities", "relations")
+
+CLASSES = ("graph", "node", "view", "relation", "alien")
 
 FLAT_SCHEMA = (
     "line_no bigint, graph_no int, document_id string, class string, ordinal int, parent_ordinal int, parent_key string, "
@@ -68,45 +77,96 @@ def leaf_state(value: object) -> str:
     return "string"
 
 
+@lru_cache(maxsize=65_536)
 def merge_states(a: str, b: str) -> str:
-    """The least state that covers both: null below all, bigint below double, string on top."""
+    """The least state that covers both: null below all, bigint below double, structures and arrays part by part, string on top."""
     if a == b or b == "null":
         return a
     if a == "null":
         return b
+    if a.startswith("struct<") and b.startswith("struct<"):
+        x, y = fields_of(a), fields_of(b)
+        return "struct<" + ",".join(f"{k}:{merge_states(x.get(k, 'null'), y.get(k, 'null'))}" for k in sorted(x | y)) + ">"
+    if a.startswith("array<") and b.startswith("array<"):
+        return f"array<{merge_states(a[6:-1], b[6:-1])}>"
     return "double" if {a, b} == {"bigint", "double"} else "string"
 
 
-def state(value: object) -> str:
-    """The automaton's state of a value, as a type signature; runs bottom-up over children."""
-    if isinstance(value, dict):
-        return "struct<" + ",".join(f"{k}:{state(value[k])}" for k in sorted(value)) + ">"
-    if isinstance(value, list):
-        inner = "null"
-        for child in value:
-            inner = merge_states(inner, state(child))
-        return f"array<{inner}>"
-    return leaf_state(value)
-
-
-def object_class(value: dict, within: str) -> str:
-    """The class an object reaches from its fields' states, given the class of the array that holds it."""
-    if within in ("node", "view", "relation"):
-        return within
-    if isinstance(value.get("graphs"), list):
-        return "envelope"
-    if any(isinstance(value.get(k), list) for k in (*NODE_LISTS, "relations")) or "document_id" in value:
-        return "graph"
-    return "alien"
+def fields_of(variant: str) -> dict[str, str]:
+    """The fields of a variant with their states, in order."""
+    out: dict[str, str] = {}
+    depth, start = 0, 0
+    inner = variant[len("struct<") : -1]
+    for i, c in enumerate([*inner, ","]):
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth and i > start:
+            name, _, state = inner[start:i].partition(":")
+            out[name] = state
+            start = i + 1
+    return out
 
 
-def variant(value: dict) -> str:
-    """One level of the signature: scalar fields with their type, nested ones by kind."""
-    parts = []
-    for k in sorted(value):
-        v = value[k]
-        parts.append(f"{k}:{'object' if isinstance(v, dict) else 'array' if isinstance(v, list) else leaf_state(v)}")
-    return ",".join(parts)
+class Run:
+    """The automaton's run over one parsed line: the state of every object and whether a graph lies below it."""
+
+    def __init__(self, top: dict) -> None:
+        self.at: dict[int, tuple[str, bool]] = {}
+        self.top = top
+        self._up(top)
+
+    def _up(self, value: object) -> tuple[str, bool]:
+        """(state, a graph is here or below), children first."""
+        if isinstance(value, dict):
+            parts, below = [], False
+            for k in sorted(value):
+                state, found = self._up(value[k])
+                parts.append(f"{k}:{state}")
+                below |= found and k not in RECORD_LISTS
+            state = "struct<" + ",".join(parts) + ">"
+            self.at[id(value)] = (state, below)
+            return state, below or self.lists(value) or "document_id" in value
+        if isinstance(value, list):
+            inner, below = "null", False
+            for child in value:
+                state, found = self._up(child)
+                inner = merge_states(inner, state)
+                below |= found
+            return f"array<{inner}>", below
+        return leaf_state(value), False
+
+    @staticmethod
+    def lists(value: dict) -> bool:
+        return any(isinstance(value.get(k), list) for k in RECORD_LISTS)
+
+    def variant(self, value: dict) -> str:
+        return self.at[id(value)][0]
+
+    def object_class(self, value: dict) -> str:
+        """envelope, graph or alien; objects in the lists of a graph take their class from the list."""
+        below = self.at[id(value)][1]
+        if isinstance(value.get("graphs"), list) or (below and not self.lists(value)):
+            return "envelope"
+        return "graph" if self.lists(value) or "document_id" in value else "alien"
+
+    def accepted(self) -> Iterator[tuple[str, dict]]:
+        """The graphs and alien objects of the line in reading order; envelopes are opened at whatever depth they are."""
+        todo: list[object] = [self.top]
+        while todo:
+            value = todo.pop()
+            if isinstance(value, list):
+                todo.extend(reversed(value))
+            elif isinstance(value, dict):
+                kind = self.object_class(value)
+                if kind != "envelope":
+                    yield kind, value
+                    continue
+                # only a list of graphs or a field above a graph is opened; the rest of an envelope is its own data
+                todo.extend(reversed([v for k, v in value.items() if k == "graphs" or self._above(v)]))
+
+    def _above(self, value: object) -> bool:
+        if isinstance(value, list):
+            return any(self._above(x) for x in value)
+        return isinstance(value, dict) and self.object_class(value) != "alien"
 
 
 def text_of(value: object) -> str | None:
@@ -138,28 +198,26 @@ def _objects(value: object) -> list[tuple[int, dict]]:
     return [(i, x) for i, x in enumerate(value) if isinstance(x, dict)] if isinstance(value, list) else []
 
 
-def flatten_object(line_no: int, top: dict) -> Iterator[tuple]:
+def flatten_object(line_no: int, top: dict, with_payload: bool = True) -> Iterator[tuple]:
     """All rows of one parsed line."""
-    kind = object_class(top, "")
-    if kind == "alien":
-        yield (line_no, -1, None, "alien", 0, None, None, None, None, None, variant(top), dump(top))
-        return
-    graphs = _objects(top["graphs"]) if kind == "envelope" else [(0, top)]
-    for g, graph in graphs:
-        if kind == "envelope" and object_class(graph, "") != "graph":
-            yield (line_no, g, None, "alien", g, None, None, None, None, None, variant(graph), dump(graph))
+    run = Run(top)
+    body = dump if with_payload else lambda value: None
+    for g, (kind, graph) in enumerate(run.accepted()):
+        if kind == "alien":
+            yield (line_no, g, None, "alien", g, None, None, None, None, None, run.variant(graph), body(graph))
             continue
         doc = text_of(graph.get("document_id"))
         lists = [graph[k] for k in NODE_LISTS if graph.get(k) is not None]
-        own = {k: v for k, v in graph.items() if k not in (*NODE_LISTS, "relations")}
-        yield (line_no, g, doc, "graph", g, None, None, doc, None, None, variant(graph), dump(own))
+        own = {k: v for k, v in graph.items() if k not in RECORD_LISTS} if with_payload else None
+        yield (line_no, g, doc, "graph", g, None, None, doc, None, None, run.variant(graph), body(own))
         for i, node in _objects(lists[0] if lists else None):
             key = first_of(node, NODE_ID)
-            yield (line_no, g, doc, "node", i, g, doc, key, None, None, variant(node), dump({k: v for k, v in node.items() if k != "views"}))
+            own = {k: v for k, v in node.items() if k != "views"} if with_payload else None
+            yield (line_no, g, doc, "node", i, g, doc, key, None, None, run.variant(node), body(own))
             for j, view in _objects(node.get("views")):
-                yield (line_no, g, doc, "view", j, i, key, text_of(view.get("view")), None, None, variant(view), dump(view))
+                yield (line_no, g, doc, "view", j, i, key, text_of(view.get("view")), None, None, run.variant(view), body(view))
         for i, rel in _objects(graph.get("relations")):
-            yield (line_no, g, doc, "relation", i, g, doc, first_of(rel, RELATION_ID), first_of(rel, HEAD_ID), first_of(rel, TAIL_ID), variant(rel), dump(rel))
+            yield (line_no, g, doc, "relation", i, g, doc, first_of(rel, RELATION_ID), first_of(rel, HEAD_ID), first_of(rel, TAIL_ID), run.variant(rel), body(rel))
 
 
 def _flatten(with_payload: bool):
@@ -171,21 +229,19 @@ def _flatten(with_payload: bool):
             for line_no, line in zip(pdf["line_no"], pdf["line"]):
                 top = parse_object(line)
                 if top is not None:
-                    rows.extend(flatten_object(line_no, top))
+                    rows.extend(flatten_object(line_no, top, with_payload))
                 if len(rows) > 20_000:
-                    yield _frame(rows, columns, with_payload)
+                    yield _frame(rows, columns)
                     rows = []
-            yield _frame(rows, columns, with_payload)
+            yield _frame(rows, columns)
 
     return run
 
 
-def _frame(rows: list[tuple], columns: list[str], with_payload: bool) -> pd.DataFrame:
+def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=columns)
     for c in ("graph_no", "ordinal", "parent_ordinal"):
         out[c] = out[c].astype("Int32")
-    if not with_payload:
-        out["payload"] = None
     return out
 
 
@@ -198,44 +254,41 @@ def flatten_lines(lines: DataFrame, with_payload: bool = True) -> DataFrame:
     return source.mapInPandas(_flatten(with_payload), FLAT_SCHEMA)
 
 
+def route(lines: DataFrame, with_payload: bool = True) -> dict[str, DataFrame]:
+    """The supertype tables graph, node, view, relation and alien, written once, one folder per class.
+
+    Every table keeps line_no, graph_no, document_id, ordinal, parent_ordinal, parent_key, key, variant and payload; relation also head and tail.
+    """
+    flat = materialize(flatten_lines(lines, with_payload), "nested", by="class")
+    return tables(flat)
+
+
 def tables(flat: DataFrame) -> dict[str, DataFrame]:
-    """The supertype tables: graph, node, view, relation and alien, with keys, parent links and variant."""
+    """The supertype tables of flattened lines."""
     shared = ["line_no", "graph_no", "document_id", "ordinal", "parent_ordinal", "parent_key", "key", "variant", "payload"]
-    out = {c: flat.filter(F.col("class") == c).select(*shared) for c in ("graph", "node", "view", "alien")}
-    out["relation"] = flat.filter(F.col("class") == "relation").select(*shared, "head", "tail")
-    return out
+    return {c: flat.filter(F.col("class") == c).select(*shared, *(["head", "tail"] if c == "relation" else [])) for c in CLASSES}
 
 
-def variants(flat: DataFrame) -> DataFrame:
+def variants(routed: dict[str, DataFrame]) -> DataFrame:
     """Number of objects per class and structural variant."""
-    return flat.groupBy("class", "variant").agg(F.count(F.lit(1)).alias("n_objects"))
+    each = [df.groupBy(F.lit(c).alias("class"), "variant").agg(F.count(F.lit(1)).alias("n_objects")) for c, df in routed.items()]
+    return reduce(DataFrame.unionByName, each)
 
 
-def subtype_table(flat: DataFrame, cls: str, shape: str) -> DataFrame:
-    """The rows of one variant with its own fields typed by the automaton; nested fields stay JSON text."""
-    fields = [p.rsplit(":", 1) for p in shape.split(",")] if shape else []
-    typed = {k: {"bigint": "bigint", "double": "double", "boolean": "boolean"}.get(t, "string") for k, t in fields}
-    rows = flat.filter((F.col("class") == cls) & (F.col("variant") == shape))
-    keep = ["line_no", "graph_no", "document_id", "ordinal", "parent_ordinal", "parent_key", "key"]
-    schema = ", ".join(f"`{k}` {t}" for k, t in typed.items())
-    if not schema:
+def subtype_table(table: DataFrame, variant: str) -> DataFrame:
+    """The rows of one variant with its own fields (f_name) typed by the automaton; nested fields stay JSON text."""
+    typed = {k: s if s in ("bigint", "double", "boolean") else "string" for k, s in fields_of(variant).items()}
+    rows = table.filter(F.col("variant") == variant)
+    keep = [c for c in table.columns if c not in ("variant", "payload")]
+    if not typed:
         return rows.select(*keep)
-    parsed = F.from_json("payload", schema)
+    parsed = F.from_json("payload", ", ".join(f"`{k}` {t}" for k, t in typed.items()))
     return rows.select(*keep, *[parsed.getField(k).alias(f"f_{k}") for k in typed])
 
 
-def parent_links(flat: DataFrame) -> DataFrame:
-    """Distinct (document_id, link, parent_key, child_key) of every readable graph; links without a child key give no row."""
-    pair = lambda link, parent, child: F.struct(F.lit(link).alias("link"), parent.alias("parent_key"), child.alias("child_key"))
-    own = F.array(pair("node", F.col("parent_key"), F.col("key")))
-    rel = F.array(
-        pair("relation", F.col("parent_key"), F.col("key")), pair("head", F.col("key"), F.col("head")), pair("tail", F.col("key"), F.col("tail"))
-    )
-    view = F.array(pair("view", F.col("parent_key"), F.col("key")))
-    links = F.when(F.col("class") == "node", own).when(F.col("class") == "view", view).when(F.col("class") == "relation", rel)
-    return (
-        flat.filter(F.col("class").isin("node", "view", "relation"))
-        .select("document_id", F.inline(links))
-        .filter("child_key IS NOT NULL")
-        .distinct()
-    )
+def parent_links(routed: dict[str, DataFrame]) -> DataFrame:
+    """Distinct (document_id, link, parent_key, child_key) from the supertype tables; links without a child key give no row."""
+    link = lambda c, name, parent, child: routed[c].select("document_id", F.lit(name).alias("link"), F.col(parent).alias("parent_key"), F.col(child).alias("child_key"))
+    each = [link("node", "node", "parent_key", "key"), link("view", "view", "parent_key", "key"), link("relation", "relation", "parent_key", "key")]
+    each += [link("relation", "head", "key", "head"), link("relation", "tail", "key", "tail")]
+    return reduce(DataFrame.unionByName, each).filter("child_key IS NOT NULL").distinct()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wrenmill.operators import nested_tables, orphan_references
 from wrenmill.runtime import table
@@ -18,13 +19,19 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flat = nested_tables.flatten_lines(table(spark, sf_dir, "local_graphs"), with_payload=False)
-    return nested_tables.parent_links(flat)
+    return nested_tables.parent_links(nested_tables.route(table(spark, sf_dir, "local_graphs"), with_payload=False))
 
 
 def p7_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flat = nested_tables.flatten_lines(table(spark, sf_dir, "local_graphs"), with_payload=False)
-    return nested_tables.variants(flat)
+    return nested_tables.variants(nested_tables.route(table(spark, sf_dir, "local_graphs"), with_payload=False))
+
+
+def p7_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the subtype table of views with a name, a score and a span."""
+    views = nested_tables.route(table(spark, sf_dir, "local_graphs"))["view"]
+    shape = "struct<score:double,span:struct<end:bigint,start:bigint>,view:string>"
+    place = lambda end: F.get_json_object("f_span", f"$.{end}").cast("bigint").alias(f"span_{end}")
+    return nested_tables.subtype_table(views, shape).select("document_id", "parent_key", "key", "ordinal", F.round("f_score", 6).alias("score"), place("start"), place("end"))
 
 
 _P5_CASES = """
@@ -49,17 +56,16 @@ cases AS (
   FROM known WHERE ref_key IS NOT NULL AND ref_key <> '')
 """
 
-SQL = {
-    "p5_found": _P5_CASES + "SELECT * FROM cases WHERE reason IS NOT NULL",
-    "p5_report": _P5_CASES
-    + """SELECT table_name, field_name, reason, period, count(*) AS n_references, count(DISTINCT ref_key) AS n_keys
-    FROM cases WHERE reason IS NOT NULL GROUP BY ALL""",
-    "p7_found": """
-WITH raw AS (SELECT CASE WHEN line LIKE chr(65279) || '%' THEN substr(line, 2) ELSE line END AS l FROM local_graphs),
+_P7_LISTS = """
+WITH RECURSIVE raw AS (SELECT CASE WHEN line LIKE chr(65279) || '%' THEN substr(line, 2) ELSE line END AS l FROM local_graphs),
 ok AS (SELECT l::JSON AS j FROM raw WHERE l IS NOT NULL AND json_valid(l) AND json_type(CASE WHEN json_valid(l) THEN l END) = 'OBJECT'),
-g AS (
-  SELECT j AS g FROM ok WHERE coalesce(json_type(j, '$.graphs'), 'NULL') <> 'ARRAY'
-  UNION ALL SELECT unnest(CAST(json_extract(j, '$.graphs') AS JSON[])) FROM ok WHERE json_type(j, '$.graphs') = 'ARRAY'),
+w AS (
+  SELECT j AS v FROM ok
+  UNION ALL
+  SELECT x.value FROM w, json_each(w.v) x
+  WHERE x.type IN ('OBJECT', 'ARRAY') AND (json_type(w.v) = 'ARRAY' OR json_type(w.v, '$.graphs') = 'ARRAY' OR NOT (
+    coalesce(json_type(w.v, '$.nodes'), '') = 'ARRAY' OR coalesce(json_type(w.v, '$.entities'), '') = 'ARRAY' OR coalesce(json_type(w.v, '$.relations'), '') = 'ARRAY'))),
+g AS (SELECT v AS g FROM w WHERE json_type(v) = 'OBJECT' AND coalesce(json_type(v, '$.graphs'), '') <> 'ARRAY'),
 gg AS (
   SELECT g ->> '$.document_id' AS document_id,
     CASE WHEN json_type(g, '$.nodes') = 'ARRAY' THEN json_extract(g, '$.nodes') WHEN json_type(g, '$.entities') = 'ARRAY' THEN json_extract(g, '$.entities') END AS nodes,
@@ -73,13 +79,26 @@ r AS (
   SELECT document_id, coalesce(x ->> '$.relation_id', x ->> '$.id') AS id, coalesce(x ->> '$.head_event_id', x ->> '$.head') AS head,
     coalesce(x ->> '$.tail_event_id', x ->> '$.tail') AS tail
   FROM (SELECT document_id, unnest(CAST(rels AS JSON[])) AS x FROM gg))
-SELECT DISTINCT * FROM (
+"""
+
+SQL = {
+    "p5_found": _P5_CASES + "SELECT * FROM cases WHERE reason IS NOT NULL",
+    "p5_report": _P5_CASES
+    + """SELECT table_name, field_name, reason, period, count(*) AS n_references, count(DISTINCT ref_key) AS n_keys
+    FROM cases WHERE reason IS NOT NULL GROUP BY ALL""",
+    "p7_found": _P7_LISTS + """SELECT DISTINCT * FROM (
   SELECT document_id, 'node' AS link, document_id AS parent_key, id AS child_key FROM n
   UNION ALL SELECT document_id, 'view', id, view FROM v
   UNION ALL SELECT document_id, 'relation', document_id, id FROM r
   UNION ALL SELECT document_id, 'head', id, head FROM r
   UNION ALL SELECT document_id, 'tail', id, tail FROM r)
 WHERE child_key IS NOT NULL""",
+    "p7_views": _P7_LISTS + """
+SELECT document_id, id AS parent_key, w ->> '$.view' AS key, i - 1 AS ordinal, round(CAST(w ->> '$.score' AS DOUBLE), 6) AS score,
+  CAST(w ->> '$.span.start' AS BIGINT) AS span_start, CAST(w ->> '$.span.end' AS BIGINT) AS span_end
+FROM (SELECT document_id, id, unnest(CAST(views AS JSON[])) AS w, unnest(range(1, json_array_length(views)::BIGINT + 1)) AS i FROM n)
+WHERE list_sort(json_keys(w)) = ['score', 'span', 'view'] AND json_type(w, '$.score') = 'DOUBLE' AND json_type(w, '$.view') = 'VARCHAR'
+  AND list_sort(json_keys(w, '$.span')) = ['end', 'start'] AND contains(json_type(w, '$.span.start'), 'BIGINT') AND contains(json_type(w, '$.span.end'), 'BIGINT')""",
 }
 
-QUERIES = {"p5_found": p5_found, "p5_report": p5_report, "p7_found": p7_found, "p7_variants": p7_variants}
+QUERIES = {"p5_found": p5_found, "p5_report": p5_report, "p7_found": p7_found, "p7_variants": p7_variants, "p7_views": p7_views}

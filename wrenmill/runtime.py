@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -32,23 +33,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for lineage cuts: spark.checkpoint.dir, or an own one where the session names none."""
+    """The folder for lineage cuts: spark.checkpoint.dir; only a local session may go without one, in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all of {master} shares")
         where = f"file://{os.path.join(tempfile.gettempdir(), 'wrenmill-checkpoints')}"
-        spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str = "cut", partitions: int | None = None) -> DataFrame:
-    """Write df to a table in the shared folder and read it back.
+def materialize(df: DataFrame, name: str = "cut", partitions: int | None = None, by: str | None = None) -> DataFrame:
+    """Write df to a table in the shared folder, one folder per value of `by` if given, and read it back.
 
     Cuts lineage without keeping blocks on executors, so a lost executor costs nothing, and gives
     the planner true sizes. Empty frames keep their schema.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/wrenmill/{name}-{uuid.uuid4().hex}"
-    (df.coalesce(partitions) if partitions else df).write.parquet(path)
+    writer = (df.coalesce(partitions) if partitions else df).write
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -59,15 +63,14 @@ def release(*frames: DataFrame | None) -> None:
             continue
         jvm = df.sparkSession._jvm
         conf = df.sparkSession._jsc.hadoopConfiguration()
-        parents = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-        for parent in parents:
-            if "/wrenmill/" in parent:
-                path = jvm.org.apache.hadoop.fs.Path(parent)
-                path.getFileSystem(conf).delete(path, True)
+        tables = {m.group() for f in df.inputFiles() if (m := re.match(r".*/wrenmill/[^/]+-[0-9a-f]{32}(?=/)", f))}
+        for name in tables:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def hot_keys(big: DataFrame, key: str, least: int = 200_000, most: int = 1000) -> DataFrame:
-    """Keys of which big holds more than max(least, rows / most) rows: never more than `most` keys."""
+    """The `most` largest keys of big with more than `least` rows; any other key holds at most max(least, rows / most) rows."""
     counts = big.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > least)
     return counts.orderBy(F.desc("__n"), key).limit(most).select(key)
 
@@ -87,9 +90,3 @@ def skew_lookup(big: DataFrame, small: DataFrame, key: str, how: str = "left", l
     a = big.join(F.broadcast(names), key, "left_semi").join(F.broadcast(heavy), key, how)
     b = big.join(F.broadcast(names), key, "left_anti").join(small, key, how)
     return a.unionByName(b)
-
-
-def python_partitions(df: DataFrame, rows_each: int, least: int | None = None) -> int:
-    """Partitions for a Python stage of about rows_each rows, at least the default parallelism."""
-    n = df.count()
-    return max(least or df.sparkSession.sparkContext.defaultParallelism, -(-n // rows_each))
