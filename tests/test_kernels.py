@@ -47,6 +47,50 @@ def test_backbone_covers_and_bounds():
     clique = [(f"c{i:02d}", f"c{j:02d}") for i in range(25) for j in range(i)]
     parts = k.backbone([*clique, ("x", "y")], 20)
     assert sorted(map(len, parts)) == [2, 5, 20] and len(set().union(*parts)) == 27
+    assert sorted(parts)[0] == [f"c{i:02d}" for i in range(20)]
+
+
+def linked(nodes, edges):
+    """Connected sets of nodes, by definition."""
+    sets = [{n} for n in nodes]
+    for a, b in edges:
+        if a in nodes and b in nodes:
+            x, y = next(s for s in sets if a in s), next(s for s in sets if b in s)
+            if x is not y:
+                sets.remove(y)
+                x |= y
+    return sets
+
+
+def test_shell_groups_by_definition():
+    """Every group is linked, within the bound or uncuttable, and the recursive cut at the upper median gives the same groups."""
+    rng = random.Random(11)
+    for _ in range(20):
+        edges = {(f"n{min(a, b):02d}", f"n{max(a, b):02d}") for a, b in ((rng.randrange(30), int(30 * rng.random() ** 2)) for _ in range(90)) if a != b}
+        nodes = {x for e in edges for x in e}
+        near = {x: {b if a == x else a for a, b in edges if x in (a, b)} for x in nodes}
+        core = k.core_numbers(near)
+
+        def cut(group, core=core, edges=edges):
+            shells = sorted({core[x] for x in group})
+            upper = {x for x in group if core[x] > shells[len(shells) // 2]}
+            if len(group) <= 6 or not upper:
+                return [group]
+            return [g for side in (upper, group - upper) for part in linked(side, edges) for g in cut(part)]
+
+        want = {frozenset(g) for part in linked(nodes, edges) for g in cut(part) if len(g) <= 6}
+        got = [frozenset(p) for p in k.backbone(sorted(edges), 6)]
+        assert want <= set(got) and all(len(p) <= 6 and len(linked(p, edges)) == 1 for p in got)
+        assert sorted(x for p in got for x in p) == sorted(nodes)
+
+
+def test_config_ranges():
+    from wrenmill.config import AssociationConfig, ResolutionConfig
+
+    assert ResolutionConfig().top_k == 20 and AssociationConfig().max_cluster == 20
+    for wrong in (lambda: ResolutionConfig(bm25_weight=0.5), lambda: ResolutionConfig(top_k=0), lambda: AssociationConfig(max_cluster=1), lambda: ResolutionConfig(threshold=1.1)):
+        with pytest.raises(ValueError):
+            wrong()
 
 
 def test_files(spark, tmp_path):
