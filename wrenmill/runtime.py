@@ -90,3 +90,16 @@ def skew_lookup(big: DataFrame, small: DataFrame, key: str, how: str = "left", l
     a = big.join(F.broadcast(names), key, "left_semi").join(F.broadcast(heavy), key, how)
     b = big.join(F.broadcast(names), key, "left_anti").join(small, key, how)
     return a.unionByName(b)
+
+
+def hash_sample(df: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """At most `most` rows in the order of a hash of the keys, the same in every run.
+
+    Rows above a threshold of the hash are dropped in the scan, so all partitions together send about `most` rows, whatever their number.
+    """
+    n = df.count()
+    place = F.pmod(F.xxhash64(*keys), F.lit(1 << 40))
+    if n > most:
+        # four standard deviations above the expected number, so that the threshold practically never leaves fewer than `most`
+        df = df.filter(place < F.lit(int((1 << 40) * min(1.0, (most + 4 * most**0.5 + 16) / n))))
+    return df.orderBy(place, *keys).limit(most)
