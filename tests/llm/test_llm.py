@@ -162,24 +162,6 @@ def test_ids_equal_the_public_tokenizer(spark):
 # --- matching
 
 
-def test_matching(spark):
-    when = datetime(2023, 5, 4, 10)
-    recs, entries = [], []
-    parts = ["增压泵滴漏", "滑油滤芯泡沫偏多", "管路支架断裂", "火焰筒内壁烧蚀", "harness connector signal dropout"]
-    for i in range(60):
-        serial = f"{1000000 + 7919 * i}"
-        recs.append((f"R{i}", f"LX4-{serial}在试车时报告{parts[i % 5]}，读数{i}.37mm。", when))
-        if i % 2 == 0:
-            entries.append((f"W{i}", f"lx4 {serial}", "2023/05/05", f"{parts[i % 5]}, {i},37 mm"))
-    entries += [("X1", "LX4-9999999", "5 May 2023", "别的事情, 99.99"), ("X2", None, None, ""), ("X3", "", None, None), (None, "a", "b", "c"), entries[0]]
-    r = spark.createDataFrame([*recs, ("E", "", None), ("N", None, None)], "document_id string, text string, recorded_at timestamp")
-    e = spark.createDataFrame(entries, "entry_id string, unit_ref string, opened_on string, summary string")
-    got = {(x.document_id, x.entry_id) for x in entity_match.match(r, e).collect()}
-    assert got == {(f"R{i}", f"W{i}") for i in range(0, 60, 2)}
-    assert entity_match.match(r.limit(0), e).count() == 0
-    assert entity_match.day_of("2023年5月4日") == entity_match.day_of("4 May 2023") and entity_match.day_of("soon") is None
-
-
 # --- mixing and subjects
 
 

@@ -1,17 +1,24 @@
 """Matching entities across sources without keys: records and work orders of one shop event.
 
-Both sides become bags of attribute tokens: engine number, its one-digit wildcards (a typed-wrong digit leaves
-one of seven alike), numbers, words, word beginnings (abbreviations) and character pairs. BM25 weights come from
-all records. Retrieval goes through the inverted index in the order of what can still win: first engine number and
-wildcards, then, for entries that no engine number places, the pairs (day, token) over the prefix of the
-rarest tokens that every record above the least coverage must hit, then the rarest tokens alone for entries without a
-day. What is left out could not reach the threshold, so the pruning loses no match above it.
-
-Of each entry's candidates the nearest remains (with those equal to it, such as copies filed again), and
-of each record's entries those that are near in comparison with its nearest. Confidence is a logistic function of attribute
-agreement, coverage and score gap, calibrated on pairs whose attributes agree or contradict beyond doubt.
+Both sides become bags of attribute tokens: engine number, day, measured numbers, words, word beginnings (abbreviations) and
+character pairs. An entry is a query of its tokens to the inverted index of the records, every token weighted by its BM25 idf
+over all records (one occurrence of a token counts, length does not: b = 0) and by a weight of its attribute. A written engine
+number stands for the known ones that equal it or share a deletion of one digit (a wrong, lost or doubled digit, two swapped), a written day
+for the records of that day and the REACH days before. The score is a share of what the entry could reach at most.
+
+Retrieval is exact for all pairs whose score reaches the entry's bound: LEAST, or the best score found so far less WIDE, whichever is
+more (a runner-up further off changes nothing, gaps count up to WIDE). First come the pairs that agree in engine and day; they set the bounds. Then, for records that
+agree in engine alone, day alone or neither, the tokens of the entry are taken from the rarest on until those left out, with what
+engine and day could add, stay under the bound; only postings of (engine, token), (day, token) or (token) are read. A record
+outside shares no such token, so its score is below the bound.
+
+A match is mutual: the record is nearest to the entry, or equal to the nearest within TIE (copies filed again), and of the record's entries none is nearer by more than APART. Confidence is a
+logistic function of the score's parts and its gap to the runner-up, calibrated against decoys: entries recombined at random from the attributes of three different
+ones, whose nearest records are wrong for certain. With the odds o of real against decoy, and the share of real entries that behave
+like decoys, the confidence is 1 - share / o.
 
 Rows with a null id are left out; null or empty attributes are missing evidence, never a match. Repeated rows count once.
+An empty side gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,21 +27,26 @@ import datetime as dt
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wrenmill.runtime import materialize, skew_lookup
+from wrenmill.runtime import hash_sample, materialize, release
 
-K1, B = 1.5, 0.75
-DAYS_AFTER = 2
-LEAST_COVERAGE = 0.45
-SAMPLE = 40_000
-#: Weight of each kind of token in the score.
-WEIGHTS = {"s": 2.0, "w": 0.3, "n": 1.0, "t": 0.5, "d": 1.0}
+#: Days before the written one that a record may be of.
+REACH = 2
+#: Least score of a match, gap beyond which a runner-up does not count, differences that make no difference.
+LEAST, WIDE, TIE, APART = 0.5, 0.3, 0.02, 0.3
+#: Most entries that are recombined into decoys.
+SAMPLE = 4000
+#: Weights of the attributes: engine number, one that shares a deletion, day, measured number, word.
+UNIT, NEAR, DAY, NUMBER, WORD = 3.0, 0.85, 3.0, 1.5, 0.25
+#: Share of its mean weight that an attribute missing in the entry counts among what could be reached.
+MISSING = 0.25
 
 # Ways to write a day.
 DATE_FORMATS = ("%Y-%m-%d", "%Y%m%d", "%Y/%m/%d", "%Y.%m.%d", "%d.%m.%Y", "%d %b %Y", "%d %B %Y", "%Y年%m月%d日")
@@ -65,21 +77,9 @@ def day_of(text: str | None) -> int | None:
     return None
 
 
-def script(text: str) -> int:
-    """0 Latin, 1 ideographs, 2 kana, 3 Thai, 4 Devanagari: the script most characters after ASCII belong to."""
-    counts = [0] * 5
-    for c in text:
-        if c.isalpha():
-            n = ord(c)
-            counts[4 if 0x900 <= n < 0x980 else 3 if 0xE00 <= n < 0xE80 else 2 if 0x3040 <= n < 0x3100 else 1 if n > 0x2E80 else 0] += 2 if n > 0x2E80 or n > 0x900 else 1
-    if counts[2] > 3:
-        return 2
-    return int(np.argmax(counts))
-
-
 def tokens(text: str, extra: str = "") -> tuple[list[str], list[str], list[str]]:
     """Engine numbers, numbers, and word tokens of a cleaned text."""
-    serials = list(dict.fromkeys(_serial.findall(extra) + re.findall(r"\d{7}$", extra.strip()) + _serial.findall(text)))
+    serials = list(dict.fromkeys(_serial.findall(extra) + re.findall(r"\d{6,8}$", extra.strip()) + re.findall(r"\d{7}$", extra.strip()) + _serial.findall(text)))
     rest = _serial.sub(" ", text)
     numbers = list(dict.fromkeys(f"{a}.{b}".rstrip("0").rstrip(".") for a, b in _number.findall(rest)))
     words: dict[str, None] = {}
@@ -93,28 +93,20 @@ def tokens(text: str, extra: str = "") -> tuple[list[str], list[str], list[str]]
     return serials, numbers, list(words)
 
 
-BAG = "id string, day int, script int, s array<bigint>, w array<bigint>, n array<bigint>, t array<bigint>"
+BAG = "id string, day int, s array<string>, n array<bigint>, t array<bigint>"
 
 
 def _bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for key, text, unit, day in zip(pdf["id"], pdf["text"], pdf["unit"], pdf["day"]):
-            c = clean(text)
-            serials, numbers, words = tokens(c, clean(unit))
-            wild = [x[:i] + "*" + x[i + 1 :] for x in serials for i in range(7)]
-            d = day_of(day) if isinstance(day, str) else None
-            rows.append((key, d, script(c), [code("s" + x) for x in serials], [code("w" + x) for x in wild], [code("n" + x) for x in numbers], [code("t" + x) for x in words]))
-        out = pd.DataFrame(rows, columns=["id", "day", "script", "s", "w", "n", "t"])
+            serials, numbers, words = tokens(clean(text), clean(unit))
+            rows.append((key, day_of(day) if isinstance(day, str) else None, serials, [code("n" + x) for x in numbers], [code("t" + x) for x in words]))
+        out = pd.DataFrame(rows, columns=["id", "day", "s", "n", "t"])
         out["day"] = out["day"].astype("Int32")
-        out["script"] = out["script"].astype("int32")
         yield out
 
 
-def _parts(df: DataFrame) -> int:
-    return df.sparkSession.sparkContext.defaultParallelism
-
-
 def bags(rows: DataFrame, key: str, text: str, unit: str | None = None, day: str | None = None) -> DataFrame:
     """One bag of tokens per key; day is a written day or a timestamp column."""
     when = F.lit(None).cast("string")
@@ -126,149 +118,188 @@ def bags(rows: DataFrame, key: str, text: str, unit: str | None = None, day: str
     return picked.select("id", "r.text", "r.unit", "r.day").mapInPandas(_bags, BAG)
 
 
-def _scored(average: float):
-    """Attribute agreement, coverage and BM25 score of candidate pairs."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for e, d, eday, dday, escript, dscript, es, ds, ew, dw, en, enw, dn, et, etw, dt_ in zip(*(pdf[c] for c in COLUMNS)):
-                dset = set(dt_)
-                hit = [w for x, w in zip(et, etw) if x in dset]
-                total = float(np.sum(etw)) if len(etw) else 0.0
-                nset = set(dn)
-                nhit = [w for x, w in zip(en, enw) if x in nset]
-                norm = (K1 + 1) / (1 + K1 * (1 - B + B * (len(dt_) + len(dn)) / average))
-                serial = 1 if set(es) & set(ds) else 2 if set(ew) & set(dw) else 0 if len(es) == 0 or len(ds) == 0 else 3
-                if pd.isna(eday) or pd.isna(dday):
-                    day = 0
-                else:
-                    off = int(eday) - int(dday)
-                    day = 1 if 0 <= off <= DAYS_AFTER else 3
-                cover = sum(hit) / total if total else 0.0
-                score = norm * (WEIGHTS["t"] * sum(hit) + WEIGHTS["n"] * sum(nhit)) + 12 * WEIGHTS["s"] * (serial == 1) + 6 * WEIGHTS["s"] * (serial == 2) + 12 * WEIGHTS["d"] * (day == 1)
-                rows.append((e, d, serial, day, cover, len(en), len(nhit), int(escript == dscript), total, score))
-            out = pd.DataFrame(rows, columns=["e", "d", "serial", "day", "cover", "numbers", "equal_numbers", "same_script", "mass", "score"])
-            for c in ("serial", "day", "numbers", "equal_numbers", "same_script"):
-                out[c] = out[c].astype("int32")
-            for c in ("cover", "mass", "score"):
-                out[c] = out[c].astype("float64")
-            yield out
-
-    return run
-
-
-COLUMNS = ["e", "d", "eday", "dday", "escript", "dscript", "es", "ds", "ew", "dw", "en", "enw", "dn", "et", "etw", "dt"]
-SCORED = "e string, d string, serial int, day int, cover double, numbers int, equal_numbers int, same_script int, mass double, score double"
-
-
-def score_pairs(pairs: DataFrame, entries: DataFrame, records: DataFrame, average: float) -> DataFrame:
-    left = entries.select(F.col("id").alias("e"), F.col("day").alias("eday"), F.col("script").alias("escript"), F.col("s").alias("es"), F.col("w").alias("ew"), F.col("n").alias("en"), "enw", F.col("t").alias("et"), "etw")
-    right = records.select(F.col("id").alias("d"), F.col("day").alias("dday"), F.col("script").alias("dscript"), F.col("s").alias("ds"), F.col("w").alias("dw"), F.col("n").alias("dn"), F.col("t").alias("dt"))
-    full = skew_lookup(skew_lookup(pairs, left, "e", "inner"), right, "d", "inner")
-    return full.select(*COLUMNS).mapInPandas(_scored(average), SCORED)
+def recombined(entries: DataFrame, most: int = SAMPLE) -> DataFrame:
+    """At most `most` decoys: engine, day and words of three different entries each."""
+    some = hash_sample(entries, ["id"], most).toPandas().sort_values("id", ignore_index=True)
+    n = len(some)
+    if n < 3:
+        return entries.limit(0)
+    # strides that differ from each other and from 0
+    mixed = pd.DataFrame({"id": "decoy " + some["id"]})
+    mixed["day"] = some["day"].to_numpy()[(np.arange(n) + max(1, n // 3)) % n]
+    mixed["s"] = some["s"].to_numpy()
+    for c in ("n", "t"):
+        mixed[c] = some[c].to_numpy()[(np.arange(n) + max(2, 2 * n // 3)) % n]
+    rows = [(r.id, None if pd.isna(r.day) else int(r.day), list(r.s), [int(x) for x in r.n], [int(x) for x in r.t]) for r in mixed.itertuples()]
+    return entries.sparkSession.createDataFrame(rows, entries.schema)
+
+
+# --- the index ----------------------------------------------------------------------------------------------
+
+
+def idf(n: int, df: Column) -> Column:
+    return F.log(1 + (F.lit(n) - df + 0.5) / (df + 0.5))
+
+
+def _deletions(serial: Column) -> Column:
+    """The number itself and it less any one digit."""
+    return F.array_distinct(F.concat(F.array(serial), F.transform(F.sequence(F.lit(1), F.length(serial)), lambda i: F.concat(F.substr(serial, F.lit(1), i - 1), F.substr(serial, i + 1)))))
+
+
+def units(entries: DataFrame, recs: DataFrame, n: int) -> DataFrame:
+    """(e, units, most): the known engine numbers (unit, w) that an entry's number may stand for, and the weight of a match at best."""
+    known = recs.select(F.explode("s").alias("unit")).groupBy("unit").agg(F.count(F.lit(1)).alias("df"))
+    known = known.select("unit", (F.lit(UNIT) * idf(n, F.col("df"))).alias("w"))
+    said = entries.select(F.col("id").alias("e"), F.explode("s").alias("said"))
+    left = said.select("e", "said", F.explode(_deletions(F.col("said"))).alias("x"))
+    right = known.select("unit", "w", F.explode(_deletions(F.col("unit"))).alias("x"))
+    near = left.join(right, "x").groupBy("e", "unit").agg(F.max(F.when(F.col("said") == F.col("unit"), F.col("w")).otherwise(NEAR * F.col("w"))).alias("w"))
+    unseen = UNIT * float(np.log(1 + (n + 0.5) / 0.5))
+    lists = near.groupBy("e").agg(F.array_sort(F.collect_list(F.struct("unit", "w"))).alias("units"), F.max("w").alias("most"))
+    return said.select("e").distinct().join(lists, "e", "left").withColumn("most", F.coalesce("most", F.lit(unseen)))
+
+
+def queries(entries: DataFrame, recs: DataFrame, postings: DataFrame, n: int) -> DataFrame:
+    """Entries with the weights of all their attributes: e, day, days, dw, units, uw, tok, w (the rarest first) and whole, the highest score possible."""
+    df = postings.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
+    terms = entries.select(F.col("id").alias("e"), F.explode(F.concat(F.transform("n", lambda x: F.struct(x.alias("tok"), F.lit(NUMBER).alias("f"))), F.transform("t", lambda x: F.struct(x.alias("tok"), F.lit(WORD).alias("f"))))).alias("x")).select("e", "x.tok", "x.f")
+    w = (F.col("f") * idf(n, F.coalesce("df", F.lit(0)))).alias("w")
+    lists = terms.join(df, "tok", "left").groupBy("e").agg(F.sort_array(F.collect_list(F.struct(w, "tok")), asc=False).alias("ts"))
+    counts = recs.filter("day IS NOT NULL").groupBy("day").agg(F.count(F.lit(1)).alias("df"))
+    dated = entries.filter("day IS NOT NULL").select(F.col("id").alias("e"), F.explode(F.sequence(F.col("day") - REACH, F.col("day"))).alias("day"))
+    days = dated.join(counts, "day", "left").groupBy("e").agg((F.lit(DAY) * idf(n, F.coalesce(F.sum("df"), F.lit(0)))).alias("dw"))
+    full = entries.select(F.col("id").alias("e"), "day").join(lists, "e", "left").join(days, "e", "left").join(units(entries, recs, n), "e", "left")
+    out = full.select(
+        "e", "day", F.coalesce("dw", F.lit(0.0)).alias("dw"), F.coalesce("units", F.array().cast("array<struct<unit:string,w:double>>")).alias("units"), F.coalesce("most", F.lit(0.0)).alias("uw"),
+        F.coalesce(F.col("ts.tok"), F.array().cast("array<bigint>")).alias("tok"), F.coalesce(F.col("ts.w"), F.array().cast("array<double>")).alias("w"),
+    )
+    mean = out.agg(*[F.coalesce(F.avg(F.when(F.col(c) > 0, F.col(c))), F.lit(0.0)).alias(f"mean_{c}") for c in ("uw", "dw")])
+    share = lambda c: F.when(F.col(c) > 0, F.col(c)).otherwise(MISSING * F.col(f"mean_{c}"))
+    whole = share("dw") + share("uw") + F.aggregate("w", F.lit(0.0), lambda a, x: a + x)
+    return out.crossJoin(F.broadcast(mean)).withColumn("whole", whole).drop("mean_uw", "mean_dw").filter("whole > 0")
+
+
+PARTS = ("same_unit", "other_unit", "same_day", "other_day", "cover")
+
+
+def scored(pairs: DataFrame, asked: DataFrame, recs: DataFrame) -> DataFrame:
+    """(e, d, score) of distinct pairs, score as a share of the entry's whole, and what every attribute says (PARTS)."""
+    right = recs.select(F.col("id").alias("d"), F.col("day").alias("dday"), "s", F.concat("n", "t").alias("has"))
+    full = pairs.join(asked, "e").join(right, "d")
+    unit = F.coalesce(F.array_max(F.transform(F.filter("units", lambda x: F.array_contains("s", x["unit"])), lambda x: x["w"])), F.lit(0.0))
+    near = F.col("dday").between(F.col("day") - REACH, F.col("day"))
+    words = F.aggregate(F.zip_with("tok", "w", lambda t, w: F.when(F.array_contains("has", t), w).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
+    part = full.select(
+        "e", "d", "whole", "uw", unit.alias("unit"), F.when(near, F.col("dw")).otherwise(0.0).alias("days"), words.alias("words"), F.aggregate("w", F.lit(0.0), lambda a, x: a + x).alias("mass"),
+        F.coalesce(near, F.lit(False)).cast("double").alias("same_day"), F.coalesce(~near, F.lit(False)).cast("double").alias("other_day"), ((F.col("uw") > 0) & (F.size("s") > 0)).alias("both"),
+    )
+    return part.select(
+        "e", "d", ((F.col("unit") + F.col("days") + F.col("words")) / F.col("whole")).alias("score"), F.coalesce(F.try_divide("unit", "uw"), F.lit(0.0)).alias("same_unit"),
+        (F.col("both") & (F.col("unit") == 0)).cast("double").alias("other_unit"), "same_day", "other_day", F.coalesce(F.try_divide("words", "mass"), F.lit(0.0)).alias("cover"),
+    )
+
+
+def probes(asked: DataFrame) -> DataFrame:
+    """(e, place, unit, day, tok): what has to be looked up so that no record at the entry's bound or above is missed.
+
+    place says which attributes the record shares besides the token: unit, day or none. Where the attribute suffices, any record of it qualifies.
+    """
+    # a token is needed while it and the rarer ones' successors could still lift a record to the bound
+    after = F.transform(F.sequence(F.lit(1), F.size("tok")), lambda i: F.aggregate(F.slice("w", i, F.size("w")), F.lit(0.0), lambda a, x: a + x))
+    ranked = asked.filter(F.size("tok") > 0).withColumn("after", after).withColumn("need", F.col("bound") * F.col("whole"))
+    eps = 1e-9
+    least = lambda has: F.filter(F.transform(F.arrays_zip("tok", "after"), lambda x: F.when(x["after"] >= F.col("need") - has - eps, x["tok"])), lambda t: t.isNotNull())
+    unit = ranked.select("e", "need", "tok", "after", F.explode("units").alias("u")).select("e", F.col("u.unit").alias("unit"), F.explode(least(F.col("u.w"))).alias("tok"))
+    day = ranked.filter("day IS NOT NULL").select("e", F.explode(F.sequence(F.col("day") - REACH, F.col("day"))).alias("day"), least(F.col("dw")).alias("toks")).select("e", "day", F.explode("toks").alias("tok"))
+    none = ranked.select("e", F.explode(least(F.lit(0.0))).alias("tok"))
+    bare = asked.select("e", "whole", "bound", F.explode("units").alias("u")).filter(F.col("u.w") >= F.col("bound") * F.col("whole") - eps).select("e", F.col("u.unit").alias("unit"))
+    within = asked.filter((F.col("dw") > 0) & (F.col("dw") >= F.col("bound") * F.col("whole") - eps)).select("e", F.explode(F.sequence(F.col("day") - REACH, F.col("day"))).alias("day"))
+    blank = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    return (
+        unit.select("e", F.lit("unit").alias("place"), "unit", blank("day", "int"), "tok")
+        .unionByName(day.select("e", F.lit("day").alias("place"), blank("unit", "string"), "day", "tok"))
+        .unionByName(none.select("e", F.lit("none").alias("place"), blank("unit", "string"), blank("day", "int"), "tok"))
+        .unionByName(bare.select("e", F.lit("bare unit").alias("place"), "unit", blank("day", "int"), blank("tok", "bigint")))
+        .unionByName(within.select("e", F.lit("bare day").alias("place"), blank("unit", "string"), "day", blank("tok", "bigint")))
+    )
+
+
+def retrieve(asked: DataFrame, recs: DataFrame, postings: DataFrame, least: float = LEAST) -> DataFrame:
+    """(e, d, score): all pairs at the bound of their entry or above, exactly."""
+    by_unit = recs.select(F.col("id").alias("d"), "day", F.explode("s").alias("unit"))
+    agree = asked.filter("day IS NOT NULL").select("e", F.explode(F.sequence(F.col("day") - REACH, F.col("day"))).alias("day"), "units").select("e", "day", F.explode("units.unit").alias("unit"))
+    first = materialize(scored(agree.join(by_unit, ["unit", "day"]).select("e", "d").distinct(), asked, recs), "p6-first")
+    best = first.groupBy("e").agg(F.max("score").alias("best"))
+    bounded = materialize(asked.join(best, "e", "left").withColumn("bound", F.greatest(F.lit(least), F.coalesce(F.col("best") - WIDE, F.lit(0.0)))).drop("best"), "p6-bounds")
+    look = materialize(probes(bounded), "p6-probes")
+    of = lambda place: look.filter(F.col("place") == place)
+    found = of("bare unit").select("e", "unit").join(by_unit, "unit").select("e", "d")
+    found = found.unionByName(of("bare day").select("e", "day").join(recs.select(F.col("id").alias("d"), "day"), "day").select("e", "d"))
+    found = found.unionByName(of("unit").select("e", "unit", "tok").join(postings.select("d", "tok", F.explode("s").alias("unit")), ["unit", "tok"]).select("e", "d"))
+    found = found.unionByName(of("day").select("e", "day", "tok").join(postings.select("d", "tok", "day"), ["day", "tok"]).select("e", "d"))
+    found = found.unionByName(of("none").select("e", "tok").join(postings.select("d", "tok"), "tok").select("e", "d"))
+    rest = scored(found.distinct().join(first.select("e", "d"), ["e", "d"], "left_anti"), asked, recs)
+    every = first.unionByName(rest).join(bounded.select("e", "bound"), "e").filter(F.col("score") >= F.col("bound") - 1e-9).drop("bound")
+    out = materialize(every, "p6-scored")
+    release(first, bounded, look)
+    return out
 
 
 # --- calibration --------------------------------------------------------------------------------------------
 
 
-def features(p: pd.DataFrame) -> np.ndarray:
-    has = p["numbers"].to_numpy() > 0
-    share = np.where(has, p["equal_numbers"] / np.maximum(1, p["numbers"]), 0)
-    cover = p["cover"].to_numpy()
-    return np.stack(
-        [
-            np.ones(len(p)), p["serial"] == 1, p["serial"] == 2, p["serial"] == 3, p["day"] == 1, p["day"] == 3, cover, np.minimum(cover, 0.5),
-            has * share, has * (share == 0), (p["same_script"] == 0) * 1.0, (p["same_script"] == 1) * (cover < 0.25), np.tanh(p["gap"] / 10),
-        ],
-        1,
-    ).astype(float)
-
-
-def seeds(p: pd.DataFrame) -> np.ndarray:
-    """1 and 0 where the attributes agree or contradict beyond doubt, else -1."""
-    share = p["equal_numbers"] / np.maximum(1, p["numbers"])
-    strong = (p["cover"] >= 0.6) | ((p["equal_numbers"] >= 1) & (share == 1))
-    far = (p["day"] == 3) | (p["serial"] == 3)
-    yes = ((p["serial"] == 1) & (p["day"] == 1) & strong) | ((p["serial"] == 2) & (p["day"] == 1) & strong & (p["cover"] >= 0.5)) | (
-        (p["serial"] == 0) & (p["day"] == 1) & (p["cover"] >= 0.7) & (share == 1) & (p["equal_numbers"] >= 1)
-    ) | ((p["serial"] == 1) & (p["day"] == 0) & (p["cover"] >= 0.8) & (p["numbers"] == p["equal_numbers"]))
-    apart = ((p["same_script"] == 1) | (p["day"] != 1)) & (p["cover"] < 0.2) & (p["equal_numbers"] == 0)
-    return np.where(far | apart, 0, np.where(yes, 1, -1))
-
-
-def fit(sample: pd.DataFrame, rounds: int = 400) -> np.ndarray:
-    """Weights of the logistic confidence."""
-    y = seeds(sample)
-    x, y = features(sample)[y >= 0], y[y >= 0].astype(float)
-    w = np.zeros(13)
-    if not len(y) or y.min() == y.max():
-        return np.array([-8.0, 4, 2, -6, 4, -6, 3, 3, 2, -1, 0, -4, 1])
-    weight = np.ones(len(y))
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-x @ w))
-        grad = x.T @ (weight * (p - y)) / len(y) + 1e-3 * w
-        hess = (x * (weight * p * (1 - p))[:, None]).T @ x / len(y) + 1e-3 * np.eye(len(w))
-        step = np.linalg.solve(hess, grad)
-        w = w - step
-        if np.abs(step).max() < 1e-6:
-            break
-    return w
+#: Inputs of the logistic: the parts of the score and its gap to the runner-up.
+INPUTS = (*PARTS, "gap")
 
 
-# --- the operator -------------------------------------------------------------------------------------------
+def fit(real: np.ndarray, decoy: np.ndarray, n_real: int, n_decoy: int, rounds: int = 50) -> tuple[np.ndarray, float]:
+    """Weights of the log odds of real against decoy entries from the INPUTS of their nearest, and the share of real entries that are like decoys.
+
+    The share compares how often either kind reaches no LEAST score at all, which decoys and unmatched entries do alike.
+    """
+    if not len(real) or not n_decoy:
+        return np.array([-4.0, 4.0, -3.0, 4.0, -3.0, 4.0, 2.0]), 1.0
+    x = np.concatenate([real, decoy.reshape(-1, real.shape[1])])
+    x = np.column_stack([np.ones(len(x)), x])
+    y = np.r_[np.ones(len(real)), np.zeros(len(decoy))]
+    # each kind counts by its share of all its entries, so that odds compare densities
+    c = np.r_[np.full(len(real), 1.0 / n_real), np.full(len(decoy), 1.0 / n_decoy)] * n_real
+    w = np.zeros(x.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        h = (x * (c * p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(len(w))
+        step = np.linalg.solve(h, x.T @ (c * (p - y)) + 0.5 * w)
+        w -= step
+        if np.abs(step).max() < 1e-7:
+            break
+    alike = min(1.0, (1 - len(real) / n_real) / max(1e-9, 1 - len(decoy) / n_decoy))
+    return w, alike
 
 
 def match(records: DataFrame, entries: DataFrame, least: float = 0.5) -> DataFrame:
     """(document_id, entry_id, confidence); records: document_id, text, recorded_at; entries: entry_id, unit_ref, opened_on, summary."""
     recs = materialize(bags(records, "document_id", "text", None, "recorded_at"), "p6-records")
-    raw = materialize(bags(entries, "entry_id", "summary", "unit_ref", "opened_on"), "p6-entries")
+    real = materialize(bags(entries, "entry_id", "summary", "unit_ref", "opened_on"), "p6-entries")
     n = recs.count()
-    if not n:
+    if not n or not real.limit(1).count():
         return recs.select(F.col("id").alias("document_id"), F.col("id").alias("entry_id"), F.lit(0.0).alias("confidence")).limit(0)
-    average = recs.agg(F.avg(F.size("t") + F.size("n"))).first()[0] or 1.0
-    postings = recs.select(F.col("id").alias("d"), "day", F.explode(F.concat("n", "t")).alias("tok"))
-    df = postings.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.lit(n) - F.coalesce("df", F.lit(0)) + 0.5) / (F.coalesce("df", F.lit(0)) + 0.5))
-    terms = raw.select("id", F.posexplode(F.concat("n", "t")).alias("pos", "tok"))
-    weighted = skew_lookup(terms, df, "tok").select("id", "pos", "tok", idf.alias("w"), F.coalesce("df", F.lit(0)).alias("df"))
-    weighted = materialize(weighted, "p6-terms")
-    lists = weighted.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"]).alias("ws"))
-    ents = raw.join(lists, "id", "left").withColumn("ws", F.coalesce("ws", F.array().cast("array<double>")))
-    ents = materialize(
-        ents.select("id", "day", "script", "s", "w", "n", "t", F.slice("ws", 1, F.size("n")).alias("enw"), F.slice("ws", F.size("n") + 1, F.size("t")).alias("etw")), "p6-entries"
-    )
-    # 1. engine number and its wildcards
-    key = lambda side: side.select(F.col("id"), F.explode(F.array_distinct(F.concat("s", "w"))).alias("k"))
-    by_unit = key(ents).select(F.col("id").alias("e"), "k").join(key(recs).select(F.col("id").alias("d"), "k"), "k").select("e", "d").distinct()
-    # 2. and 3. for entries without an engine number: the prefix of rarest tokens that a covering record must hit
-    w = Window.partitionBy("id").orderBy(F.desc("w"), "tok")
-    open_entries = ents.filter(F.size("s") == 0).select("id", "day")
-    ranked = weighted.join(open_entries, "id").withColumn("before", F.coalesce(F.sum("w").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    total = weighted.groupBy("id").agg(F.sum("w").alias("total"))
-    prefix = materialize(ranked.join(total, "id").filter(F.col("before") <= (1 - LEAST_COVERAGE) * F.col("total")).filter("df > 0").select(F.col("id").alias("e"), "tok", "day"), "p6-prefix")
-    dated = prefix.filter("day IS NOT NULL").select("e", "tok", F.explode(F.sequence(F.col("day") - DAYS_AFTER, F.col("day"))).alias("day"))
-    by_day = dated.join(postings, ["tok", "day"]).select("e", "d").distinct()
-    undated = prefix.filter("day IS NULL").select("e", "tok").join(postings.select("d", "tok"), "tok")
-    # without day and engine number two thirds of the rare tokens must agree; a single common one proposes nothing
-    by_token = undated.groupBy("e", "d").agg(F.count(F.lit(1)).alias("hits")).join(prefix.filter("day IS NULL").groupBy("e").agg(F.count(F.lit(1)).alias("m")), "e").filter("hits >= 0.66 * m").select("e", "d")
-    pairs = by_unit.unionByName(by_day).unionByName(by_token).distinct()
-    scored = score_pairs(pairs, ents, recs, average)
-    scored = materialize(
-        scored.withColumn("best", F.max("score").over(Window.partitionBy("e")))
-        .withColumn("runner", F.max(F.when(F.col("score") < F.col("best") - 1e-6, F.col("score"))).over(Window.partitionBy("e")))
-        .withColumn("gap", F.when(F.col("score") >= F.col("best") - 1e-6, F.col("score") - F.coalesce("runner", F.lit(0.0))).otherwise(F.col("score") - F.col("best"))),
-        "p6-scored",
-    )
-    sample = scored.orderBy(F.xxhash64("e", "d"), "e", "d").limit(SAMPLE).toPandas()
-    weights = fit(sample)
-
-    def confide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            z = features(pdf) @ weights
-            yield pd.DataFrame({"e": pdf["e"], "d": pdf["d"], "score": pdf["score"], "confidence": 1 / (1 + np.exp(-z)), "z": z, "share": pdf["score"] / (pdf["mass"] + 30)})
-
-    trusted = scored.mapInPandas(confide, "e string, d string, score double, confidence double, z double, share double")
-    nearest = trusted.withColumn("top", F.max("z").over(Window.partitionBy("e"))).filter(F.col("z") >= F.col("top") - 0.75).filter(F.col("confidence") >= least)
-    mutual = nearest.withColumn("most", F.max("share").over(Window.partitionBy("d"))).filter(F.col("share") >= 0.4 * F.col("most"))
-    return mutual.select(F.col("d").alias("document_id"), F.col("e").alias("entry_id"), "confidence")
+    decoys = recombined(real)
+    both = real.withColumn("decoy", F.lit(False)).unionByName(decoys.withColumn("decoy", F.lit(True))).withColumn("id", F.concat(F.when(F.col("decoy"), "d").otherwise("r"), F.col("id"))).drop("decoy")
+    postings = materialize(recs.select(F.col("id").alias("d"), "day", "s", F.explode(F.concat("n", "t")).alias("tok")), "p6-postings")
+    asked = materialize(queries(both, recs, postings, n), "p6-queries")
+    near = retrieve(asked, recs, postings)
+    top = Window.partitionBy("e")
+    near = near.withColumn("best", F.max("score").over(top)).withColumn("runner", F.max(F.when(F.col("score") < F.col("best") - TIE, F.col("score"))).over(top))
+    near = near.withColumn("gap", F.least(F.lit(WIDE), F.col("best") - F.coalesce("runner", F.lit(0.0))))
+    near = materialize(near.withColumn("decoy", F.col("e").startswith("d")), "p6-near")
+    counts = {r["decoy"]: r["n"] for r in asked.groupBy(F.col("e").startswith("d").alias("decoy")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    tops = near.filter(F.col("score") == F.col("best")).groupBy("e", "decoy").agg(F.min_by(F.struct(*INPUTS), "d").alias("x")).select("e", "decoy", "x.*")
+    reached = {r["decoy"]: r["n"] for r in tops.groupBy("decoy").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sample = {d: hash_sample(tops.filter(F.col("decoy") == d), ["e"], 5 * SAMPLE).select(*INPUTS).toPandas().to_numpy(float) for d in (False, True)}
+    share = {d: len(sample[d]) / max(1, reached.get(d, 0)) for d in (False, True)}
+    w, alike = fit(sample[False], sample[True], max(1, round(counts.get(False, 0) * share[False])), round(counts.get(True, 0) * (share[True] or 1)))
+    odds = F.exp(reduce(lambda a, b: a + b, [F.lit(float(v)) * F.col(c) for v, c in zip(w[1:], INPUTS)], F.lit(float(w[0]))))
+    trusted = near.filter("NOT decoy").withColumn("confidence", F.greatest(F.lit(0.0), 1 - alike / odds))
+    mutual = trusted.withColumn("closest", F.max("score").over(Window.partitionBy("d")))
+    kept = mutual.filter((F.col("score") >= F.col("best") - TIE) & (F.col("score") >= F.col("closest") - APART) & (F.col("confidence") >= least))
+    return kept.select(F.col("d").alias("document_id"), F.substring("e", 2, 1 << 30).alias("entry_id"), "confidence")
