@@ -5,6 +5,7 @@ import unicodedata
 from datetime import datetime
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from wrenmill.llm import bpe, entity_match, look_alikes, match_groups, mixing, queries, sentences, subjects, vector_graph
@@ -60,6 +61,27 @@ def test_greedy_search_against_brute_force(spark):
     assert vector_graph.search(df.limit(0), df, "i", "v").count() == 0
 
 
+def test_descent_over_many_leaves(spark):
+    """20,000 vectors in some 30 leaves a tree: one descent round must mend what the leaves cut apart; search is measured on the same graph."""
+    rng = np.random.default_rng(8)
+    n = 20_000
+    m = (rng.standard_normal((300, 64))[rng.integers(0, 300, n)] + 0.7 * rng.standard_normal((n, 64))).astype(np.float32)
+    m[-40:] = m[0]
+    pdf = pd.DataFrame({"i": np.arange(n), "v": list(m)})
+    df = vector_graph.materialize(spark.createDataFrame(pdf, "i bigint, v array<float>"))
+    u = m / np.linalg.norm(m, axis=1)[:, None]
+    report = []
+    got = {}
+    for r in vector_graph.nearest(df, "i", "v", report=report).filter("id % 100 = 0").collect():
+        got.setdefault(r.id, set()).add(r.other)
+    found = {}
+    for r in vector_graph.search(df, df.filter("i % 100 = 0"), "i", "v").collect():
+        found.setdefault(r.query_id, set()).add(r.other)
+    want = {q: {int(x) for x in np.lexsort((np.arange(n), -np.round(u @ u[q], 6)))[:11] if x != q} for q in range(0, n, 100)}
+    hit = lambda out: sum(len(out[q] & set(sorted(w)[:10] if q == 0 else w)) for q, w in want.items()) / (10 * len(want))
+    assert report[0] > 1000 and hit(got) >= 0.98 and hit(found) >= 0.9
+
+
 # --- sentences
 
 

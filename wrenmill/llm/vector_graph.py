@@ -1,18 +1,16 @@
 """Most similar vectors for every vector: a neighbour graph by NN-descent, and greedy search over it.
 
-1. Vectors are checked, made unit length, and equal ones folded into one node. 2. Random projection
-trees, fitted on a bounded sample, put every node into one leaf per tree; the pairs within a leaf give the first graph.
-3. NN-descent: every node's block holds its neighbours and the nodes that have it as neighbour; the pairs of a
-block with at least one new member are compared, and a pair that beats the present last neighbour of
-either end is proposed to it; proposals merge into the best K. It stops when few lists change.
-4. The K neighbours are ranked again with full precision.
+1. Vectors are checked, made unit length, and equal ones folded into one node. 2. Random projection trees, fitted on a bounded sample, put
+every node into one leaf per tree; the nearest within each leaf give the first graph. 3. NN-descent: in every round the nodes of a
+leaf of the first tree, its region, meet all their neighbours and neighbours of neighbours, in both directions of the
+edges, and keep the K most similar. The joins that find them carry numbers only; a vector is sent once to a region, however many of its nodes may
+want it. No neighbour is sampled or left out, a hub comes to a region once. Rounds end when few edges change.
 
-Blocks and leaves reach Python as sorted streams and are worked off in pieces of bounded size, every member
-of a long block meeting all forward neighbours and the members of its piece; no group is collected. Vectors
-travel in 16-bit floats during the descent only.
+Regions reach Python as sorted streams, their own nodes first: these are bounded by the leaf, the rest passes in batches, so nothing
+grows with the number of neighbours. Similarities are computed in doubles from unit vectors of floats.
 
 Null vectors, wrong lengths, null or non-finite components and all-zero vectors take no part; of repeated
-ids the least vector counts. An empty table gives an empty result, a single vector no neighbour.
+ids the vector least by its bytes counts. An empty table gives an empty result, a single vector no neighbour.
 """
 
 from __future__ import annotations
@@ -21,20 +19,21 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wrenmill.runtime import materialize, release, skew_lookup
+from wrenmill.runtime import hash_sample, materialize, release, skew_lookup
 
+#: Most vectors the trees are fitted on; all vectors are placed in them.
 SAMPLE = 20_000
 LEAF = 640
 LEAF_MOST = 1600
-TREES = 5
+TREES = 4
 TRIALS = 6
 MIDDLE = 0.25
-KEEP = 20
+KEEP = 16
+FIRST = 10
 ROUNDS = 8
-PIECE = 48
 CHANGED = 0.004
 SEED = 20_231
 #: Entry nodes of a search in each leaf: clusters far apart share no edge, so a search must enter the right one.
@@ -45,20 +44,31 @@ DOORS = 64
 
 
 def usable_vectors(vectors: DataFrame, key: str, vector: str, size: int) -> DataFrame:
-    """(id, v): one unit vector of doubles per id."""
-    v = F.col(vector).cast("array<double>")
-    fine = (F.size(v) == size) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
-    top = F.array_max(F.transform(v, F.abs))
-    scaled = F.transform(v, lambda x: x / top)
-    length = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x * x))
-    return (
-        vectors.filter(F.col(key).isNotNull() & F.coalesce(fine, F.lit(False)))
-        .groupBy(F.col(key).alias("id"))
-        .agg(F.min(v).alias(vector))
-        .select("id", F.transform(F.transform(F.col(vector), lambda x: x / F.array_max(F.transform(F.col(vector), F.abs))), lambda x: x).alias("s"))
-        .select("id", "s", F.sqrt(F.aggregate("s", F.lit(0.0), lambda a, x: a + x * x)).alias("n"))
-        .select("id", F.transform("s", lambda x: x / F.col("n")).alias("v"))
-    )
+    """(id, v): one unit vector per id, as the bytes of its floats."""
+    kind = vectors.schema[key].dataType.simpleString()
+    some = vectors.filter(F.col(key).isNotNull() & (F.size(vector) == size)).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = np.array([np.asarray(v, np.float64) for v in pdf["v"]])
+            top = np.abs(x).max(1)
+            fine = np.isfinite(x).all(1) & (top > 0)
+            # scaled before squaring, so that no length over- or underflows; adding 0 makes -0 and 0 one
+            y = x[fine] / top[fine, None]
+            unit = (y / np.sqrt((y * y).sum(1))[:, None]).astype(np.float32) + np.float32(0)
+            yield pd.DataFrame({"id": pdf["id"].to_numpy()[fine], "v": [u.tobytes() for u in unit]})
+
+    return some.mapInPandas(run, f"id {kind}, v binary").groupBy("id").agg(F.min("v").alias("v"))
+
+
+def fold(unit: DataFrame, k: int) -> DataFrame:
+    """(node, v, ids, n): equal vectors as one node with the k + 1 smallest of its n ids, which can be anyone's neighbours."""
+    salts = max(1, unit.count() // 100_000)
+    part = unit.groupBy("v", F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt")).agg(F.slice(F.array_sort(F.collect_set("id")), 1, k + 1).alias("ids"), F.count(F.lit(1)).alias("n"))
+    folded = part.groupBy("v").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"), F.sum("n").alias("n"))
+    return materialize(folded.withColumn("node", F.monotonically_increasing_id()), "p1-folded")
 
 
 class Tree:
@@ -122,264 +132,174 @@ class Forest:
         return (places << self.bits) | np.stack(signs, 1)
 
 
-def forest(unit: DataFrame, n: int, trees: int = TREES, seed: int = SEED) -> Forest:
-    """Fitted on the first SAMPLE vectors in hash order."""
-    sample = np.array([r[0] for r in unit.select("v").orderBy(F.xxhash64("v"), "v").limit(SAMPLE).collect()], np.float32)
-    return Forest(sample, n, trees, seed)
+def forest(folded: DataFrame, n: int, trees: int = TREES, seed: int = SEED) -> Forest:
+    """Fitted on at most SAMPLE vectors in hash order."""
+    rows = hash_sample(folded.select("v"), ["v"], SAMPLE).collect()
+    return Forest(_matrix([r[0] for r in rows]).astype(np.float32), n, trees, seed)
 
 
-def _nodes(unit: DataFrame, woods: Forest) -> DataFrame:
-    """(node, half, full, leaves): a number for each vector, its bytes, and its leaf in every tree."""
+def _matrix(column: list[bytes] | pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.float32).reshape(len(column), -1).astype(np.float64)
+
+
+def placed(rows: DataFrame, woods: Forest) -> DataFrame:
+    """rows with the leaves of their vector v, one number per tree."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if not len(pdf):
-                continue
-            x = np.array(pdf["v"].tolist(), np.float32)
-            half = x.astype(np.float16)
-            yield pd.DataFrame(
-                {"node": pdf["node"], "half": [h.tobytes() for h in half], "full": [f.tobytes() for f in x], "leaves": list(woods.place(x))}
-            )
+            if len(pdf):
+                yield pd.DataFrame({"node": pdf["node"], "v": pdf["v"], "leaves": list(woods.place(_matrix(pdf["v"]).astype(np.float32)))})
 
-    return unit.select("node", "v").mapInPandas(run, "node bigint, half binary, full binary, leaves array<bigint>")
+    return rows.select("node", "v").mapInPandas(run, "node bigint, v binary, leaves array<bigint>")
 
 
-# --- streams of sorted groups ------------------------------------------------------------------------------
+def blocks(nodes: DataFrame) -> DataFrame:
+    """(node, tree, block): the leaf of each node in every tree, leaves above LEAF_MOST cut by a hash into parts below it."""
+    leaves = nodes.select("node", F.posexplode("leaves").alias("tree", "leaf"))
+    cuts = leaves.groupBy("tree", "leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(LEAF_MOST)).alias("cuts"))
+    return leaves.join(cuts, ["tree", "leaf"]).select("node", "tree", F.xxhash64("tree", "leaf", F.pmod(F.xxhash64("node"), F.col("cuts"))).alias("block"))
 
 
-def grouped(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
-    """Batches cut so that no group spans two, unless it is longer than two batches together."""
-    rest: pd.DataFrame | None = None
-    for pdf in batches:
-        if rest is not None and len(rest):
-            pdf = pd.concat([rest, pdf], ignore_index=True)
-        if not len(pdf):
-            continue
-        keys = pdf[key].to_numpy()
-        last = int(np.searchsorted(keys, keys[-1], "left"))
-        if last == 0 and len(pdf) > 50_000:
-            yield pdf
-            rest = None
-            continue
-        if last:
-            yield pdf.iloc[:last]
-        rest = pdf.iloc[last:].reset_index(drop=True)
-    if rest is not None and len(rest):
-        yield rest
-
-
-def _spans(keys: np.ndarray) -> Iterator[tuple[int, int]]:
-    edges = np.flatnonzero(np.diff(keys)) + 1
-    yield from zip([0, *edges], [*edges, len(keys)])
-
-
-def best(p: np.ndarray, q: np.ndarray, s: np.ndarray, fresh: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best distinct q of each p: by similarity, then smaller q; a known edge outlasts its proposal."""
-    order = np.lexsort((fresh, q, -s, p))
-    p1, q1 = p[order], q[order]
-    # an edge may come twice with similarities that differ in the last bit: keep the first of each (p, q)
-    code = np.lexsort((np.arange(len(order)), q1, p1))
-    first = np.ones(len(order), bool)
-    same = (p1[code][1:] == p1[code][:-1]) & (q1[code][1:] == q1[code][:-1])
-    first[code[1:][same]] = False
-    order = order[first]
-    p1 = p[order]
-    starts = np.r_[0, np.flatnonzero(np.diff(p1)) + 1] if len(p1) else np.zeros(0, int)
-    rank = np.arange(len(p1)) - np.repeat(starts, np.diff(np.r_[starts, len(p1)]))
-    return order[rank < k]
-
-
-def _merge(k: int, most: int = 1_500_000) -> Callable:
-    """Streaming best-k per p over a partition; memory is bounded by compacting."""
+# --- streams of sorted groups ------------------------------------------------------------------------------
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple] = []
-        n = 0
-        for pdf in batches:
-            if len(pdf):
-                held.append((pdf["p"].to_numpy(), pdf["q"].to_numpy(), pdf["s"].to_numpy(), pdf["fresh"].to_numpy()))
-                n += len(pdf)
-            if n > most:
-                cols = [np.concatenate(c) for c in zip(*held)]
-                at = best(*cols, k)
-                held, n = [tuple(c[at] for c in cols)], 0
-        if held:
-            cols = [np.concatenate(c) for c in zip(*held)]
-            at = best(*cols, k)
-            out = pd.DataFrame(dict(zip(("p", "q", "s", "fresh"), (c[at] for c in cols))))
-            for i in range(0, len(out), 50_000):
-                yield out.iloc[i : i + 50_000]
 
-    return run
+class Nearest:
+    """The k most similar rows so far of the nodes of one region."""
 
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int) -> None:
+        self.ids, self.x, self.k = ids, x, k
+        self.q = np.full((len(ids), k), -1, np.int64)
+        self.s = np.full((len(ids), k), -2.0)
 
-EDGE = "p bigint, q bigint, s float, fresh boolean"
+    def meet(self, ids: np.ndarray, x: np.ndarray) -> None:
+        sim = self.x @ x.T
+        sim[self.ids[:, None] == ids[None, :]] = -2.0
+        s = np.concatenate([self.s, sim], 1)
+        q = np.concatenate([self.q, np.broadcast_to(ids, sim.shape)], 1)
+        q[s <= -2.0] = -1
+        top = np.argpartition(-s, self.k - 1, 1)[:, : self.k]
+        self.s, self.q = np.take_along_axis(s, top, 1), np.take_along_axis(q, top, 1)
 
+    def edges(self) -> pd.DataFrame:
+        real = self.q >= 0
+        return pd.DataFrame({"p": np.repeat(self.ids, real.sum(1)), "q": self.q[real], "s": self.s[real]})
 
-def _matrix(column: pd.Series, kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(column), kind).reshape(len(column), -1).astype(np.float32)
 
+EDGE = "p bigint, q bigint, s double"
 
-def _edges(p: list, q: list, s: list, k: int) -> pd.DataFrame:
-    p1, q1, s1 = np.concatenate(p), np.concatenate(q), np.concatenate(s).astype(np.float32)
-    fresh = np.ones(len(p1), bool)
-    at = best(p1, q1, s1, fresh, k)
-    return pd.DataFrame({"p": p1[at], "q": q1[at], "s": s1[at], "fresh": fresh[at]})
 
+def _meet(k: int) -> Callable:
+    """Edges of the own rows of each block with the best of all its other rows; sorted by block, own rows first."""
 
-def _within_leaves(k: int) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in grouped(batches, "block"):
-            ids, x = pdf["node"].to_numpy(), _matrix(pdf["half"], np.float16)
-            ps, qs, ss = [], [], []
-            for a, b in _spans(pdf["block"].to_numpy()):
-                for c in range(a, b, LEAF_MOST):
-                    d = min(b, c + LEAF_MOST)
-                    if d - c < 2:
-                        continue
-                    sim = x[c:d] @ x[c:d].T
-                    np.fill_diagonal(sim, -2)
-                    m = min(k, d - c - 1)
-                    top = np.argpartition(-sim, m - 1, 1)[:, :m]
-                    ps.append(np.repeat(ids[c:d], m))
-                    qs.append(ids[c:d][top].ravel())
-                    ss.append(np.take_along_axis(sim, top, 1).ravel())
-            if ps:
-                yield _edges(ps, qs, ss, k)
+        at, own, state = None, [], None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            keys, mine, ids = pdf["block"].to_numpy(), pdf["own"].to_numpy(), pdf["node"].to_numpy()
+            x = _matrix(pdf["v"])
+            cuts = np.flatnonzero((np.diff(keys) != 0) | (np.diff(mine) != 0)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(keys)]):
+                if keys[a] != at:
+                    if state is not None:
+                        yield state.edges()
+                    at, own, state = keys[a], [], None
+                if mine[a]:
+                    own.append((ids[a:b], x[a:b]))
+                    continue
+                if state is None:
+                    state = Nearest(np.concatenate([o[0] for o in own]), np.concatenate([o[1] for o in own]), k)
+                state.meet(ids[a:b], x[a:b])
+        if state is not None:
+            yield state.edges()
 
     return run
 
 
-def _local_join(k: int) -> Callable:
-    """Pairs of each block with a new member, where they beat the last neighbour of an end."""
+def _within(k: int) -> Callable:
+    """The k best of each block's rows among themselves; a block has at most a little above LEAF_MOST rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in grouped(batches, "block"):
-            ids, x = pdf["node"].to_numpy(), _matrix(pdf["half"], np.float16)
-            new, last = pdf["fresh"].to_numpy(), pdf["last"].to_numpy()
-            forward = pdf["forward"].to_numpy()
-            ps, qs, ss = [], [], []
-            for a, b in _spans(pdf["block"].to_numpy()):
-                rows = np.arange(a, b)
-                if b - a > PIECE + k:
-                    ahead, behind = rows[forward[a:b]][:k], rows[~forward[a:b]]
-                    pieces = [np.concatenate([ahead, behind[c : c + PIECE]]) for c in range(0, max(1, len(behind)), PIECE)]
-                else:
-                    pieces = [rows]
-                for r in pieces:
-                    n = new[r]
-                    if not n.any():
-                        continue
-                    left = r[n]
-                    sim = x[left] @ x[r].T
-                    for to_left, bound in ((True, last[left][:, None]), (False, last[r][None, :])):
-                        i, j = np.nonzero((sim > bound) & (ids[left][:, None] != ids[r][None, :]))
-                        u, v = ids[left[i]], ids[r[j]]
-                        ps.append(u if to_left else v)
-                        qs.append(v if to_left else u)
-                        ss.append(sim[i, j])
-            if ps:
-                yield _edges(ps, qs, ss, k)
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            keys = pdf["block"].to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1), len(keys)]
+            for a, b in zip(cuts, cuts[1:]):
+                if held and held[0]["block"].iloc[0] != keys[a]:
+                    yield _among(pd.concat(held), k)
+                    held = []
+                if b > a:
+                    held.append(pdf.iloc[a:b])
+        if held:
+            yield _among(pd.concat(held), k)
 
     return run
 
 
-def _exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Similarities of each block's first row, the node itself, with the others in full precision."""
-    for pdf in grouped(batches, "block"):
-        ids, x = pdf["node"].to_numpy(), _matrix(pdf["full"], np.float32).astype(np.float64)
-        keys = pdf["block"].to_numpy()
-        own = pdf["own"].to_numpy()
-        head = np.flatnonzero(own)
-        at = np.searchsorted(keys[head], keys)
-        others = np.flatnonzero(~own)
-        sim = np.einsum("ij,ij->i", x[others], x[head[at[others]]])
-        yield pd.DataFrame({"p": keys[others], "q": ids[others], "s": sim})
+def _among(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
+    ids, x = pdf["node"].to_numpy(), _matrix(pdf["v"])
+    state = Nearest(ids, x, min(k, max(1, len(ids) - 1)))
+    state.meet(ids, x)
+    return state.edges()
 
 
 # --- the graph ----------------------------------------------------------------------------------------------
 
 
+def best(edges: DataFrame, k: int) -> DataFrame:
+    """The k most similar distinct q of each p, ties by smaller q."""
+    w = Window.partitionBy("p").orderBy(F.desc("s"), "q")
+    return edges.groupBy("p", "q").agg(F.max("s").alias("s")).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).drop("r")
+
+
 def neighbour_graph(nodes: DataFrame, n: int, keep: int = KEEP, rounds: int = ROUNDS, report: list | None = None) -> DataFrame:
-    """(p, q, s, fresh): keep neighbours of each node, by NN-descent from the trees' leaves."""
-    leaves = nodes.select("node", "half", F.posexplode("leaves").alias("tree", "leaf")).withColumn("leaf", F.xxhash64("tree", "leaf"))
-    full = leaves.groupBy("leaf").count().filter(F.col("count") > LEAF_MOST)
-    salted = skew_lookup(leaves, full, "leaf").withColumn(
-        "block",
-        F.when(F.col("count").isNull(), F.col("leaf")).otherwise(
-            F.xxhash64("leaf", F.pmod(F.xxhash64("node"), F.ceil(F.col("count") / F.lit(LEAF_MOST))))
-        ),
-    )
-    parts = max(nodes.sparkSession.sparkContext.defaultParallelism, -(-n * keep // 500_000))
-    first = salted.select("block", "node", "half").repartition(parts, "block").sortWithinPartitions("block").mapInPandas(_within_leaves(keep), EDGE)
-    graph = materialize(first.repartition(parts, "p").mapInPandas(_merge(keep), EDGE), "p1-graph")
+    """(p, q, s): keep neighbours of each node, by NN-descent from the trees' leaves."""
+    parts = max(nodes.sparkSession.sparkContext.defaultParallelism, -(-n // 25_000))
+    cut = materialize(blocks(nodes), "p1-blocks")
+    vectors = nodes.select("node", "v")
+    inside = cut.join(vectors, "node").select("block", "node", "v").repartition(parts, "block").sortWithinPartitions("block")
+    graph = materialize(best(inside.mapInPandas(_within(min(FIRST, keep)), EDGE), keep), "p1-graph")
+    home = cut.filter("tree = 0").select("node", "block")
+    own = home.join(vectors, "node").select("block", "node", "v", F.lit(True).alias("own"))
     for _ in range(rounds):
-        last = graph.groupBy(F.col("p").alias("node")).agg(F.min("s").alias("last"), F.count(F.lit(1)).alias("n"))
-        last = last.select("node", F.when(F.col("n") < keep, F.lit(-2.0)).otherwise(F.col("last")).cast("float").alias("last"))
-        ends = graph.select(
-            F.inline(
-                F.array(
-                    F.struct(F.col("p").alias("block"), F.col("q").alias("node"), F.col("fresh"), F.lit(True).alias("forward")),
-                    F.struct(F.col("q").alias("block"), F.col("p").alias("node"), F.col("fresh"), F.lit(False).alias("forward")),
-                )
-            )
-        )
-        members = ends.groupBy("block", "node").agg(F.max("fresh").alias("fresh"), F.max("forward").alias("forward"))
-        live = members.groupBy("block").agg(F.max("fresh").alias("any")).filter("any").select("block")
-        rows = members.join(live, "block", "left_semi").join(nodes.select("node", "half"), "node").join(last, "node", "left")
-        rows = rows.withColumn("last", F.coalesce("last", F.lit(-2.0).cast("float")))
-        proposals = rows.repartition(parts, "block").sortWithinPartitions("block").mapInPandas(_local_join(keep), EDGE)
-        old = graph.withColumn("fresh", F.lit(False))
-        merged = materialize(proposals.unionByName(old).repartition(parts, "p").mapInPandas(_merge(keep), EDGE), "p1-graph")
-        release(graph)
-        graph = merged
-        changed = graph.filter("fresh").count()
+        both = materialize(graph.select("p", "q").unionByName(graph.select(F.col("q").alias("p"), F.col("p").alias("q"))).distinct(), "p1-both")
+        first = materialize(both.join(home.withColumnRenamed("node", "p"), "p").select("block", F.col("q").alias("node")).distinct(), "p1-near")
+        second = first.withColumnRenamed("node", "p").join(both, "p").select("block", F.col("q").alias("node")).distinct()
+        meet = first.unionByName(second).distinct().join(vectors, "node").select("block", "node", "v", F.lit(False).alias("own"))
+        rows = own.unionByName(meet).repartition(parts, "block").sortWithinPartitions("block", F.desc("own"))
+        new = materialize(rows.mapInPandas(_meet(keep), EDGE), "p1-graph")
+        changed = new.join(graph, ["p", "q"], "left_anti").count()
+        release(graph, both, first)
+        graph = new
         if report is not None:
             report.append(changed)
         if changed <= CHANGED * n * keep:
             break
+    release(cut)
     return graph
 
 
-def ranked(graph: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
-    """(p, q, s) with full precision."""
-    rows = graph.select(F.col("p").alias("block"), F.col("q").alias("node"), F.lit(False).alias("own"))
-    own = nodes.select(F.col("node").alias("block"), "node", F.lit(True).alias("own"))
-    rows = rows.unionByName(own).join(nodes.select("node", "full"), "node")
-    return rows.repartition(parts, "block").sortWithinPartitions("block", F.desc("own")).mapInPandas(_exact, "p bigint, q bigint, s double")
-
-
 def nearest(vectors: DataFrame, key: str, vector: str, k: int = 10, size: int = 64, keep: int = KEEP, rounds: int = ROUNDS, report: list | None = None) -> DataFrame:
     """(id, other, similarity, rank): the k most similar others of every usable vector; ties by smaller id."""
     spark = vectors.sparkSession
     unit = materialize(usable_vectors(vectors, key, vector, size), "p1-unit")
-    n = unit.count()
     kind = vectors.schema[key].dataType.simpleString()
-    if n < 2:
+    if unit.limit(2).count() < 2:
         return spark.createDataFrame([], f"id {kind}, other {kind}, similarity double, rank int")
-    # equal vectors are one node; of its ids the k + 1 smallest can be anyone's neighbours
-    salts = max(1, n // 100_000)
-    part = unit.groupBy("v", F.pmod(F.xxhash64("id"), F.lit(salts)).alias("__salt")).agg(
-        F.slice(F.array_sort(F.collect_set("id")), 1, k + 1).alias("ids"), F.count(F.lit(1)).alias("n")
-    )
-    folded = part.groupBy("v").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"), F.sum("n").alias("n"))
-    folded = materialize(folded.withColumn("node", F.monotonically_increasing_id()), "p1-folded")
+    folded = fold(unit, k)
     distinct = folded.count()
-    nodes = materialize(_nodes(folded, forest(folded, distinct)), "p1-nodes")
     if distinct > 1:
-        graph = neighbour_graph(nodes, distinct, max(keep, k), rounds, report)
-        close = ranked(graph, nodes, max(spark.sparkContext.defaultParallelism, -(-distinct * keep // 500_000)))
+        nodes = materialize(placed(folded, forest(folded, distinct)), "p1-nodes")
+        close = neighbour_graph(nodes, distinct, max(keep, k), rounds, report)
     else:
-        close = spark.createDataFrame([], "p bigint, q bigint, s double")
+        close = spark.createDataFrame([], EDGE)
     close = close.unionByName(folded.filter("n > 1").select(F.col("node").alias("p"), F.col("node").alias("q"), F.lit(1.0).alias("s")))
     members = folded.select(F.col("node").alias("q"), F.explode("ids").alias("other"))
-    # a node's candidates: ids of its neighbours, k + 2 at least suffice for each id of the node
+    # a node's candidates: of the ids of its neighbours the k + 1 best suffice for each id of the node
     options = close.join(members, "q").select("p", "other", F.least(F.col("s"), F.lit(1.0)).alias("similarity"))
     single = folded.filter("n = 1").select(F.col("node").alias("p"), F.col("ids")[0].alias("id"))
-    several = skew_lookup(unit, folded.filter("n > 1").select("v", F.col("node").alias("p")), "v", "inner") if folded.filter("n > 1").limit(1).count() else None
-    owners = single if several is None else single.unionByName(several.select("p", "id"))
-    from pyspark.sql import Window
-
+    several = folded.filter("n > 1").select("v", F.col("node").alias("p"))
+    owners = single.unionByName(skew_lookup(unit, several, "v", "inner").select("p", "id")) if several.limit(1).count() else single
     w = Window.partitionBy("p").orderBy(F.desc("similarity"), "other")
     short = options.withColumn("at", F.row_number().over(w)).filter(F.col("at") <= k + 1)
     pairs = skew_lookup(owners, short.groupBy("p").agg(F.collect_list(F.struct("at", "other", "similarity")).alias("list")), "p", "inner")
@@ -397,48 +317,50 @@ def near_pairs(vectors: DataFrame, key: str, vector: str, k: int = 10, size: int
 # --- search -------------------------------------------------------------------------------------------------
 
 
+def _dot(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        if len(pdf):
+            s = np.einsum("ij,ij->i", _matrix(pdf["vq"]), _matrix(pdf["v"]))
+            yield pd.DataFrame({"ask": pdf["ask"], "node": pdf["node"], "s": s, "done": False})
+
+
 def search(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 10, size: int = 64, beam: int = 32, hops: int = 12) -> DataFrame:
     """(query_id, other, similarity, rank): the k most similar vectors of every query, by greedy search of the neighbour graph.
 
-    A query enters at DOORS nodes of its leaf in every tree, expands the best unexpanded of its `beam` best nodes
-    along the edges of both directions, and ends when none is left or after `hops`. Vectors with the query's own id are no answer.
-    Ties by smaller id; unusable vectors take no part on either side.
+    Equal vectors are one node. A query enters at DOORS nodes of its leaf in every tree, expands the best unexpanded of its `beam` best nodes
+    along the edges of both directions, and ends when none is left or after `hops`. The ids of the nodes found are listed last; the
+    query's own id is no answer. Ties by smaller id; unusable vectors take no part on either side.
     """
-    from pyspark.sql import Window
-
     spark = vectors.sparkSession
     kind = vectors.schema[key].dataType.simpleString()
-    unit = materialize(usable_vectors(vectors, key, vector, size).withColumn("node", F.monotonically_increasing_id()), "search-unit")
+    unit = materialize(usable_vectors(vectors, key, vector, size), "search-unit")
     asked = materialize(usable_vectors(queries, key, vector, size).withColumn("node", F.monotonically_increasing_id()), "search-queries")
-    n = unit.count()
-    if n < 2 or not asked.limit(1).count():
+    if not unit.limit(1).count() or not asked.limit(1).count():
         return spark.createDataFrame([], f"query_id {kind}, other {kind}, similarity double, rank int")
-    woods = forest(unit, n)
-    nodes = materialize(_nodes(unit, woods), "search-nodes")
-    edges = neighbour_graph(nodes, n).select("p", "q")
+    folded = fold(unit, k)
+    n = folded.count()
+    woods = forest(folded, n)
+    nodes = materialize(placed(folded, woods), "search-nodes")
+    edges = neighbour_graph(nodes, n).select("p", "q") if n > 1 else spark.createDataFrame([], "p bigint, q bigint")
     edges = materialize(edges.unionByName(edges.select(F.col("q").alias("p"), F.col("p").alias("q"))).distinct(), "search-edges")
     leaf = lambda df: df.select("node", F.posexplode("leaves").alias("tree", "leaf"))
     doors = leaf(nodes).groupBy("tree", "leaf", F.pmod(F.xxhash64("node"), F.lit(DOORS))).agg(F.min("node").alias("node"))
-    ask = asked.select(F.col("id").alias("query_id"), F.col("v").alias("vq"))
-    places = leaf(_nodes(asked, woods)).withColumnRenamed("node", "at").join(asked.select(F.col("node").alias("at"), F.col("id").alias("query_id")), "at")
-    fresh = places.join(doors, ["tree", "leaf"]).select("query_id", "node").distinct()
-    best_first = Window.partitionBy("query_id").orderBy(F.desc("s"), "id")
-
-    def scored(pairs: DataFrame) -> DataFrame:
-        full = pairs.join(ask, "query_id").join(unit.select("node", "id", "v"), "node").filter("id <> query_id")
-        return full.select("query_id", "node", "id", F.aggregate(F.zip_with("vq", "v", lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x).alias("s"), F.lit(False).alias("done"))
-
+    ask = asked.select(F.col("node").alias("ask"), F.col("v").alias("vq"))
+    fresh = leaf(placed(asked, woods)).withColumnRenamed("node", "ask").join(doors, ["tree", "leaf"]).select("ask", "node").distinct()
+    best_first = Window.partitionBy("ask").orderBy(F.desc("s"), "node")
     held = None
     for _ in range(hops):
-        new = scored(fresh)
+        new = fresh.join(ask, "ask").join(nodes.select("node", "v"), "node").select("ask", "node", "vq", "v").mapInPandas(_dot, "ask bigint, node bigint, s double, done boolean")
         every = new if held is None else held.unionByName(new)
         kept = materialize(every.withColumn("r", F.row_number().over(best_first)).filter(F.col("r") <= beam).drop("r"), "search-beam")
         frontier = kept.filter("NOT done")
         if not frontier.limit(1).count():
             held = kept
             break
-        steps = frontier.select("query_id", F.col("node").alias("p")).join(edges, "p").select("query_id", F.col("q").alias("node")).distinct()
-        fresh = materialize(steps.join(kept.select("query_id", "node"), ["query_id", "node"], "left_anti"), "search-steps")
+        steps = frontier.select("ask", F.col("node").alias("p")).join(edges, "p").select("ask", F.col("q").alias("node")).distinct()
+        fresh = materialize(steps.join(kept.select("ask", "node"), ["ask", "node"], "left_anti"), "search-steps")
         held = kept.withColumn("done", F.lit(True))
-    out = held.withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= k)
-    return out.select("query_id", F.col("id").alias("other"), F.least(F.col("s"), F.lit(1.0)).alias("similarity"), "rank")
+    found = held.join(folded.select("node", F.explode("ids").alias("other")), "node").join(asked.select(F.col("node").alias("ask"), F.col("id").alias("query_id")), "ask")
+    ranked = Window.partitionBy("query_id").orderBy(F.desc("s"), "other")
+    out = found.filter("other <> query_id").withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k)
+    return out.select("query_id", "other", F.least(F.col("s"), F.lit(1.0)).alias("similarity"), "rank")
