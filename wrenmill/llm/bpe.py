@@ -1,10 +1,10 @@
-"""Token ids of a public byte-level BPE tokenizer by merge replay over all words of a partition.
+"""Token ids of a public byte-level BPE tokenizer by merge replay over the words of the corpus.
 
-Each task cuts its texts into words, keeps the distinct ones end to end in one symbol array and an
-inverted index from token pair to the positions where it stands. Merges are applied in rank order:
-a merge visits only its own positions, joins the two symbols and enters the new pairs of the two
-neighbours. As words are independent, one global rank order gives each word the ids that encoding it
-alone would. No shuffle and no driver step; words seen before in the task are not replayed again.
+1. Texts are cut into words; 2. the distinct words of the whole corpus become one table; 3. the merges are replayed over that table:
+its words stand end to end in a symbol array, with an inverted index from token pair to the positions where it stands. Merges are applied in
+rank order: a merge visits only its own positions, joins the two symbols and enters the new pairs of the two neighbours. As no pair
+spans two words, each part of the table replays all ranks over its own words, and every word of the corpus is replayed once. 4. The ids are joined back to
+the words of each text, frequent words by broadcast (skew_lookup), and put together in order.
 
 Null and empty texts both give the empty list. Texts are whole whatever their length; a word
 without any break is one run of the array, for n symbols O(n log n).
@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wrenmill.runtime import materialize, skew_lookup
+
 TOKENIZER_DIR = "/opt/tokenizers"
 
 #: Fixed value: the word pattern of byte-level BPE vocabularies.
@@ -118,20 +120,31 @@ def replay(words: list[str], m: Merges) -> list[list[int]]:
     return out
 
 
-def _encoder(path: str, keep: list[str], count_only: bool):
+def _cut(path: str, key: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = merges(path)
-        known: dict[str, list[int]] = {}
         for pdf in batches:
-            cut = [m.words.findall(t) if t else [] for t in pdf["__text"]]
-            fresh = list({w: None for ws in cut for w in ws if w not in known})
-            known.update(zip(fresh, replay(fresh, m)))
-            out = pdf[keep].copy()
-            if count_only:
-                out["n_tokens"] = [sum(len(known[w]) for w in ws) for ws in cut]
-            else:
-                out["ids"] = [[i for w in ws for i in known[w]] for ws in cut]
-            yield out
+            yield pd.DataFrame({key: pdf[key], "__words": [m.words.findall(t) if t else [] for t in pdf["__text"]]})
+
+    return run
+
+
+def _replayed(path: str, most: int = 200_000):
+    """The word table's parts; most characters of words stand in one symbol array."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = merges(path)
+        held: list[str] = []
+        size = 0
+        for pdf in batches:
+            for w in pdf["__word"]:
+                held.append(w)
+                size += len(w)
+                if size > most:
+                    yield pd.DataFrame({"__word": held, "__ids": replay(held, m)})
+                    held, size = [], 0
+        if held:
+            yield pd.DataFrame({"__word": held, "__ids": replay(held, m)})
 
     return run
 
@@ -139,7 +152,18 @@ def _encoder(path: str, keep: list[str], count_only: bool):
 def encode(texts: DataFrame, key: str, text: str, tokenizer: str | None = None, count_only: bool = False) -> DataFrame:
     """(key, ids) of every row, or (key, n_tokens) with count_only; key keeps its type, other columns are not read."""
     path = tokenizer or os.path.join(TOKENIZER_DIR, "byte_bpe_50k.json")
-    source = texts.select(F.col(key), F.col(text).cast("string").alias("__text"))
     kind = texts.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, " + ("n_tokens bigint" if count_only else "ids array<int>")
-    return source.mapInPandas(_encoder(path, [key], count_only), schema)
+    source = texts.select(F.col(key), F.col(text).cast("string").alias("__text"))
+    cut = source.mapInPandas(_cut(path, key), f"`{key}` {kind}, __words array<string>")
+    cut = materialize(cut.withColumn("__row", F.monotonically_increasing_id()), "p8-words")
+    placed = cut.select("__row", F.posexplode("__words").alias("__pos", "__word"))
+    words = placed.select("__word").distinct().mapInPandas(_replayed(path), "__word string, __ids array<int>")
+    words = materialize(words, "p8-table")
+    if count_only:
+        sized = skew_lookup(placed, words.select("__word", F.size("__ids").alias("__n")), "__word")
+        sums = sized.groupBy("__row").agg(F.sum("__n").alias("__n"))
+        return cut.select("__row", key).join(sums, "__row", "left").select(key, F.coalesce("__n", F.lit(0)).cast("bigint").alias("n_tokens"))
+    found = skew_lookup(placed, words, "__word")
+    whole = found.groupBy("__row").agg(F.collect_list(F.struct("__pos", "__ids")).alias("__l"))
+    ids = F.flatten(F.transform(F.array_sort("__l"), lambda x: x["__ids"]))
+    return cut.select("__row", key).join(whole.select("__row", ids.alias("ids")), "__row", "left").select(key, F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))

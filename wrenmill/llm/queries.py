@@ -65,15 +65,12 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
-    model, ids = subjects.fit(documents, table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "subject_areas"))
-    return subjects.assign(documents, model, ids).select("doc_id", "subject_id")
+    found = subjects.subjects(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "subject_areas"))
+    return found.select("doc_id", "subject_id")
 
 
 def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents, areas = table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_areas")
-    model, ids = subjects.fit(documents, table(spark, sf_dir, "subject_labels"), areas)
-    return subjects.composition(subjects.assign(documents, model, ids), areas)
+    return subjects.composition(p10_found(spark, sf_dir), table(spark, sf_dir, "subject_areas"))
 
 
 QUERIES = {"p1_found": p1_found, "p1_search": p1_search, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p6_matches": p6_matches, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_composition": p10_composition}

@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wrenmill.runtime import hash_sample, materialize
+
 SAMPLE = 1500
 EPOCHS = 4
 START_SHARE = 0.12
@@ -252,15 +254,15 @@ def _logistic(rows: list[list[str]], y: np.ndarray, epochs: int = 6) -> np.ndarr
     return np.array([1 / (1 + np.exp(-w[x].sum())) for x in ids])
 
 
-def strip_marks(text: str, ends: list[int]) -> str:
-    """The text without the end marks right before the given places, a line break standing for each."""
+def strip_marks(text: str, ends: list[int], instead: str = "\n") -> str:
+    """The text without the end marks right before the given places, `instead` standing for each."""
     out, last = [], 0
     for e in ends:
         a = e
         while a > last and text[a - 1] in END_MARKS:
             a -= 1
         out.append(text[last:a])
-        out.append("\n")
+        out.append(instead)
         last = e
     out.append(text[last:])
     return "".join(out)
@@ -302,8 +304,9 @@ def fit(sample: list[tuple[str, list[str]]], epochs: int = EPOCHS) -> Chain:
         at += len(g.left)
         chains.append((g.features, tags))
         ends = [e for e, b in zip(g.left, tags) if b]
-        if ends and rng.random() < 0.3 and script_of(t) not in ("th",):
-            bare = strip_marks(t, ends)
+        if ends and rng.random() < 0.3:
+            # in scripts that set sentences apart by blanks a blank stands for the mark or line break, in others a line break
+            bare = strip_marks(t, ends, " " if script_of(t) == "th" else "\n")
             h = Gaps(bare)
             if h.left:
                 goals, seen, shift = set(), 0, 0
@@ -371,10 +374,10 @@ def training_sample(texts: DataFrame, passages: DataFrame, key: str, text: str,
     for name, pattern in reversed(SCRIPT_PATTERNS):
         script = F.when(F.col("__t").rlike(pattern), name).otherwise(script)
     rows = texts.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).groupBy(F.col(key).alias("__k")).agg(F.min(text).alias("__t")).withColumn("__s", script)
-    rows = rows.join(passages.select(F.col(key).alias("__k")).distinct(), "__k", "left_semi")
+    rows = materialize(rows.join(passages.select(F.col(key).alias("__k")).distinct(), "__k", "left_semi"), "p2-texts")
     picked = None
     for name in [n for n, _ in SCRIPT_PATTERNS] + ["lat"]:
-        some = rows.filter(F.col("__s") == name).orderBy(F.xxhash64("__k"), "__k").limit(most * (2 if name == "lat" else 1))
+        some = hash_sample(rows.filter(F.col("__s") == name), ["__k"], most * (2 if name == "lat" else 1))
         picked = some if picked is None else picked.unionByName(some)
     ps = passages.filter(F.col(passage).isNotNull()).select(F.col(key).alias("__k"), F.col(passage).alias("__p")).distinct()
     full = picked.join(ps, "__k").groupBy("__k", "__t").agg(F.sort_array(F.collect_list("__p")).alias("ps"))
