@@ -79,20 +79,33 @@ def normalize_mention(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(fold(text), MENTION_MARKS, ""), MENTION_PREFIX, "")
 
 
-def mention_similarity(left: Column, right: Column) -> Column:
-    """0 if empty, 1 if equal, at least .82 for containment, else Dice."""
-    a, b = normalize_mention(left), normalize_mention(right)
+def mention_form(text: Column) -> Column:
+    """What mention_similarity() compares: the normalized mention and its n-gram set. Make it a column once where a mention meets several others."""
+    normal = normalize_mention(text)
+    return F.struct(normal.alias("normal"), gram_set(normal).alias("grams"))
+
+
+def form_similarity(left: Column, right: Column) -> Column:
+    """0 if empty, 1 if equal, at least .82 for containment, else Dice, of two mention_form() columns."""
+    a, b = left["normal"], right["normal"]
     la, lb = F.length(a), F.length(b)
-    d = dice(a, b)
-    inside = a.contains(b) | b.contains(a)
+    sizes = F.size(left["grams"]) + F.size(right["grams"])
+    d = F.when((F.size(left["grams"]) == 0) | (F.size(right["grams"]) == 0), 0.0).otherwise(2.0 * F.size(F.array_intersect(left["grams"], right["grams"])) / sizes)
     return (
         F.when((la == 0) | (lb == 0), 0.0)
         .when(a == b, 1.0)
-        .when(inside, F.greatest(d, 0.82 + 0.18 * F.least(la, lb) / F.greatest(la, lb)))
+        .when(a.contains(b) | b.contains(a), F.greatest(d, 0.82 + 0.18 * F.least(la, lb) / F.greatest(la, lb)))
         .otherwise(d)
     )
 
 
+def mention_similarity(left: Column, right: Column) -> Column:
+    """form_similarity() of two texts."""
+    # a one-element array binds each form once, so that no branch normalizes or cuts it again
+    both = F.array(F.struct(mention_form(left).alias("l"), mention_form(right).alias("r")))
+    return F.transform(both, lambda x: form_similarity(x["l"], x["r"]))[0]
+
+
 def token_set(text: Column) -> Column:
     """Distinct tokens longer than one character or holding a digit."""
     return F.filter(F.array_distinct(domain_tokens(text)), lambda t: (F.length(t) > 1) | t.rlike(r"(?U)\d"))

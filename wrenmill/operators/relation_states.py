@@ -35,17 +35,20 @@ def features(pairs: DataFrame) -> DataFrame:
     ra, rb = F.upper(c("relation_type_a")), F.upper(c("relation_type_b"))
     modal = F.col("modality_a").eqNullSafe(F.col("modality_b")) if "modality_a" in pairs.columns else F.lit(True)
     either = lambda f: (f(ha, hb) | f(ta, tb)).cast("double")
-    out = pairs.withColumns(
+    forms = {"__ha": ha, "__hb": hb, "__ta": ta, "__tb": tb}
+    fit = lambda x, y: t.form_similarity(F.col(f"__{x}"), F.col(f"__{y}"))
+    # every text is normalized and cut once, for the two others it meets
+    out = pairs.withColumns({k: t.mention_form(v) for k, v in forms.items()}).withColumns(
         {
-            "direct_head_text": t.mention_similarity(ha, hb), "direct_tail_text": t.mention_similarity(ta, tb),
-            "reverse_head_text": t.mention_similarity(ha, tb), "reverse_tail_text": t.mention_similarity(ta, hb),
+            "direct_head_text": fit("ha", "hb"), "direct_tail_text": fit("ta", "tb"),
+            "reverse_head_text": fit("ha", "tb"), "reverse_tail_text": fit("ta", "hb"),
             "evidence_similarity": t.dice(c("evidence_sentence_a"), c("evidence_sentence_b")),
             "relation_type_match": (ra == rb).cast("double"), "relation_role_compatible": t.role_compatible(ra, rb).cast("double"),
             "modality_match": modal.cast("double"), **{f: number(f) for f in MAPPING_FEATURES},
             "numeral_conflict": either(t.numeral_conflict), "negation_conflict": either(t.negation_conflict), "maintenance_state_conflict": either(t.state_conflict),
             **{f: number(f) for f in SEMANTIC_FEATURES},
         }
-    )
+    ).drop(*forms)
     reverse = F.greatest(F.least("reverse_head_text", "reverse_tail_text"), F.least("reverse_head_mapping_support", "reverse_tail_mapping_support"))
     direct = F.greatest(F.least("direct_head_text", "direct_tail_text"), F.least("head_mapping_support", "tail_mapping_support"))
     return out.withColumn("reverse_direction_conflict", ((reverse > direct + 0.12) & (reverse >= 0.42)).cast("double"))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from wrenmill.config import ResolutionConfig
 from wrenmill.functions import text as t
+from wrenmill.runtime import numbered
 
 # Words of systems and component families.
 SYSTEMS = {
@@ -300,7 +301,7 @@ def cluster(pairs: DataFrame, ids: DataFrame, threshold: float) -> DataFrame:
 
     grouped = inside.select("component", "a", "b", "score").groupBy("component").applyInPandas(link, "document_id string, first string")
     every = ids.select("document_id").distinct().join(grouped, "document_id", "left").withColumn("first", F.coalesce("first", "document_id"))
-    names = every.select("first").distinct().withColumn("case_id", F.format_string("CASE_%06d", F.dense_rank().over(Window.orderBy("first"))))
+    names = numbered(every.select("first").distinct(), None, "first", "place").select("first", F.format_string("CASE_%06d", "place").alias("case_id"))
     return every.join(names, "first").select("document_id", "case_id")
 
 

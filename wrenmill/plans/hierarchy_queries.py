@@ -35,7 +35,7 @@ def g12_graph_checks(spark: SparkSession, d: str) -> DataFrame:
     ends = e.select("uid", "case_id", F.explode(F.array("head_uid", "tail_uid")).alias("end")).join(first.select(F.col("uid").alias("end"), "node_case"), "end", "left")
     parts = [
         kind(first.filter("k > 1"), "duplicate_node"), kind(e.groupBy("uid").count().filter("count > 1"), "duplicate_edge"),
-        kind(n.filter(~F.col("role").isin(*patterns.ROLE.values())), "unknown_role"), kind(e.filter(~F.col("relation_type").isin("CAUSE", "TREAT", "VERIFY", "TEMPORAL")), "unknown_relation"),
+        kind(n.filter(~F.col("role").isin(*patterns.ROLES)), "unknown_role"), kind(e.filter(~F.col("relation_type").isin("CAUSE", "TREAT", "VERIFY", "TEMPORAL")), "unknown_relation"),
         kind(ends.filter("node_case IS NULL"), "dangling_end"), kind(ends.filter("node_case <> case_id"), "cross_case_end"),
     ]
     out = parts[0]
@@ -117,7 +117,7 @@ m AS (SELECT uid, case_id, role, 'C_' || substr(role, 1, 3) || '_' || substr(sha
 e0 AS (SELECT uid, x.* FROM (SELECT uid, min(struct_pack(case_id, head_uid, tail_uid, relation_type)) AS x FROM relation_edges WHERE uid IS NOT NULL AND head_uid IS NOT NULL AND tail_uid IS NOT NULL AND relation_type IS NOT NULL GROUP BY uid)),
 e AS (SELECT uid AS edge, case_id, relation_type AS rel, CASE WHEN relation_type IN ('CAUSE', 'TREAT', 'VERIFY') THEN tail_uid ELSE head_uid END AS s, CASE WHEN relation_type IN ('CAUSE', 'TREAT', 'VERIFY') THEN head_uid ELSE tail_uid END AS t FROM e0),
 a AS (SELECT e.*, x.role AS sr, x.cid AS sc, y.role AS tr, y.cid AS tc FROM e JOIN m x ON x.uid = s AND x.case_id = e.case_id JOIN m y ON y.uid = t AND y.case_id = e.case_id)"""
-_ROLES = lambda n: ", ".join("'" + ">".join(patterns.ROLE[c] for c in p) + "'" for p in patterns.PATHS if len(p) == n)
+_ROLES = lambda n: ", ".join("'" + ">".join(p) + "'" for p in patterns.PATHS if len(p) == n)
 _PAT = f"""{_MAP},
 p2 AS (SELECT case_id, t AS last, sr || '>' || tr AS roles, sr || ':' || sc || '>' || tr || ':' || tc AS path, rel AS rels FROM a),
 p3 AS (SELECT p2.case_id, a.t AS last, roles || '>' || tr AS roles, path || '>' || tr || ':' || tc AS path, rels || '|' || rel AS rels FROM p2 JOIN a ON a.case_id = p2.case_id AND a.s = last),

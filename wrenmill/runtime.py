@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -103,3 +103,19 @@ def hash_sample(df: DataFrame, keys: list[str], most: int) -> DataFrame:
         # four standard deviations above the expected number, so that the threshold practically never leaves fewer than `most`
         df = df.filter(place < F.lit(int((1 << 40) * min(1.0, (most + 4 * most**0.5 + 16) / n))))
     return df.orderBy(place, *keys).limit(most)
+
+
+def numbered(df: DataFrame, group: str | None, order: str, name: str) -> DataFrame:
+    """df with `name`: 1, 2, 3 ... in the order of a unique column, within each group if one is named.
+
+    Rows are range-partitioned, numbered inside their partition, and shifted by the counts of the partitions before, so no group and no
+    table goes through one task; only one row per group and partition meets in the shift.
+    """
+    keys = [group, order] if group else [order]
+    cut = materialize(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__part", F.spark_partition_id()), "numbered")
+    by = ["__part", *([group] if group else [])]
+    inside = cut.withColumn("__at", F.row_number().over(Window.partitionBy(*by).orderBy(order)))
+    counts = cut.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*([group] if group else [F.lit(1)])).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    return inside.join(shift, by).withColumn(name, F.col("__at") + F.col("__before")).drop("__part", "__at", "__before")
