@@ -52,7 +52,9 @@ class AssociationConfig(Checked):
     threshold: float = within(0.19694262623786926)
     top_k: int = within(12, 1)
     max_cluster: int = within(20, 2)
-    residual_min_similarity: float = within(0.20, 0, 1)
+    residual_role: str = "ROOT_CAUSE"
+    residual_least: float = within(0.0317785682709644, 0, 1)
+    residual_types: tuple[str, ...] = ("D_bge_high_structure_low", "safe_or_low_risk_control")
 
 
 @dataclass(frozen=True)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wrenmill.config import AssociationConfig
-from wrenmill.operators import case_merge, patterns, relation_states
+from wrenmill.operators import case_merge, hierarchy, relation_states
 from wrenmill.plans import event_queries, hierarchy_queries
 from wrenmill.runtime import materialize, table
 
@@ -33,10 +33,8 @@ def g24_backbone(spark: SparkSession, d: str) -> DataFrame:
     """Topics of all cases, from the association scores of the nearest cases; cases without a vector are their own topic."""
     c = AssociationConfig()
     cases = table(spark, d, "event_nodes").filter("uid IS NOT NULL AND case_id IS NOT NULL").select(F.col("case_id").alias("node")).distinct()
-    near = case_merge.near_cases(materialize(event_queries._case_vectors(spark, d), "g24-vectors"), c.top_k)
     _, feats, idf = hierarchy_queries._features(spark, d)
-    score = c.semantic_weight * F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("cosine"))) + c.evidence_weight * F.col("evidence")
-    edges = patterns.pair_jaccard(materialize(near, "g24-near"), feats, idf).filter(score >= c.threshold)
+    edges = hierarchy.association_graph(materialize(event_queries._case_vectors(spark, d), "g24-vectors"), feats, idf, c)
     return case_merge.structural_backbone(materialize(edges, "g24-edges"), "a", "b", c.max_cluster, cases)
 
 
