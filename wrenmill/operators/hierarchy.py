@@ -21,7 +21,8 @@ from wrenmill.runtime import materialize, numbered
 
 def _grams(text: Column, low: int, high: int) -> Column:
     t = F.regexp_replace(F.lower(text), r"(?U)\s\s+", " ")
-    each = [F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i, n=n: F.substr(t, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in range(low, high + 1)]
+    piece = lambda n: lambda i: F.substr(t, i, F.lit(n))
+    each = [F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), piece(n))).otherwise(F.array().cast("array<string>")) for n in range(low, high + 1)]
     return F.flatten(F.array(*each))
 
 
