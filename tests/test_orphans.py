@@ -33,7 +33,7 @@ def test_empty_tables(spark):
     assert run(spark, [("e", "a", "b", None, None, None)], [], []) == [("head_uid", "e", "a", "missing", None), ("tail_uid", "e", "b", "missing", None)]
 
 
-def test_saturated_filter_is_still_exact(spark):
+def test_filter_beyond_the_broadcast_bound(spark):
     keys = [(f"k{i}", at(1), None) for i in range(500)]
     parents = spark.createDataFrame(keys, "ref_key string, first_loaded timestamp, deleted timestamp")
     refs = spark.createDataFrame([("t", "f", f"r{i}", f"k{i}", at(2)) for i in range(900)], "table_name string, field_name string, row_key string, ref_key string, t timestamp")

@@ -2,10 +2,9 @@
 
 A Bloom filter of the parent keys, built and probed as DataFrame expressions, proves most orphans
 without a join; only filter-positive references are verified by an exact join. The filter is a
-table of 64-bit words: a key sets BITS bits of one word, words are combined with bit_or, and the
-words are broadcast. Their number is capped (MAX_WORDS, 16 MB of longs), so the broadcast has a
-proven bound whatever the number of parents; past the cap only the share of false positives grows,
-never the result.
+table of 64-bit words: a key sets BITS bits of one word, words are combined with bit_or. Their number follows that of
+the parents (BITS_PER_KEY bits each), so the share of false positives stays the same at any size. Up to MAX_WORDS (16 MB of longs) the
+words are broadcast; a larger filter is partitioned by word, and references meet their word by a shuffle that carries no parent key.
 
 Nulls and empty strings are no references. A parent key with a null is ignored. Repeated rows count
 once, by their first load time. Rows without a load time can be 'missing' but neither late nor deleted.
@@ -38,9 +37,9 @@ def _mask(key: Column) -> Column:
     return mask
 
 
-def bloom_words(parents: DataFrame, key: str, n_parents: int, max_words: int = MAX_WORDS) -> tuple[DataFrame, int]:
+def bloom_words(parents: DataFrame, key: str, n_parents: int) -> tuple[DataFrame, int]:
     """The filter as (word, bits), one row per non-empty word, and the number of words it addresses."""
-    words = max(64, min(max_words, n_parents * BITS_PER_KEY // 64 + 1))
+    words = max(64, n_parents * BITS_PER_KEY // 64 + 1)
     bits = (
         parents.filter(F.col(key).isNotNull())
         .select(_word(F.col(key), words).alias("__word"), _mask(F.col(key)).alias("__m"))
@@ -68,12 +67,12 @@ def orphans(references: DataFrame, parents: DataFrame, n_parents: int | None = N
     """
     if n_parents is None:
         n_parents = parents.count()
-    bits, words = bloom_words(parents, "ref_key", n_parents, max_words)
+    bits, words = bloom_words(parents, "ref_key", n_parents)
     refs = references.filter(F.col("ref_key").isNotNull() & (F.col("ref_key") != ""))
     mask = _mask(F.col("ref_key"))
     probed = (
         refs.withColumn("__word", _word(F.col("ref_key"), words))
-        .join(F.broadcast(bits), "__word", "left")
+        .join(F.broadcast(bits) if words <= max_words else bits, "__word", "left")
         .withColumn("__maybe", F.coalesce(F.col("__bits").bitwiseAND(mask) == mask, F.lit(False)))
         .drop("__word", "__bits")
     )
@@ -93,7 +92,7 @@ def orphans(references: DataFrame, parents: DataFrame, n_parents: int | None = N
 def maintenance_orphans(edges: DataFrame, nodes: DataFrame, records: DataFrame) -> DataFrame:
     """Orphans of relation_edges.head_uid, tail_uid (to event_nodes.uid) and event_nodes.source_document_ids (to records)."""
     node_keys = materialize(first_loads(nodes, "uid"), "p5-nodes")
-    record_keys = first_loads(records, "document_id")
+    record_keys = materialize(first_loads(records, "document_id"), "p5-records")
     ends = F.array(
         F.struct(F.lit("head_uid").alias("field_name"), F.col("head_uid").alias("ref_key")),
         F.struct(F.lit("tail_uid").alias("field_name"), F.col("tail_uid").alias("ref_key")),
