@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from wrenmill.config import ResolutionConfig
 from wrenmill.functions import text as t
-from wrenmill.runtime import numbered
+from wrenmill.runtime import materialize, numbered
 
 # Words of systems and component families.
 SYSTEMS = {
@@ -47,10 +47,14 @@ def clean_records(records: DataFrame) -> DataFrame:
     return records.filter("document_id IS NOT NULL").groupBy("document_id").agg(F.coalesce(F.min("text"), F.lit("")).alias("text"))
 
 
-def postings(records: DataFrame) -> DataFrame:
-    """(document_id, token, tf, length): term frequencies, map-side combined."""
-    rows = records.select("document_id", t.domain_tokens(F.col("text")).alias("tokens"))
-    long = rows.select("document_id", F.size("tokens").alias("length"), F.explode("tokens").alias("token"))
+def tokenized(records: DataFrame) -> DataFrame:
+    """(document_id, tokens), written once: every step of BM25 reads this table."""
+    return materialize(records.select("document_id", t.domain_tokens(F.col("text")).alias("tokens")), "case-tokens")
+
+
+def postings(tokens: DataFrame) -> DataFrame:
+    """(document_id, token, tf, length) of tokenized() records: term frequencies, map-side combined."""
+    long = tokens.select("document_id", F.size("tokens").alias("length"), F.explode("tokens").alias("token"))
     return long.groupBy("document_id", "length", "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -59,13 +63,15 @@ def bm25_idf(post: DataFrame, n_documents: int) -> DataFrame:
     return df.select("token", "df", F.log(1 + (F.lit(n_documents) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
-def bm25_weights(post: DataFrame, records: DataFrame, config: ResolutionConfig = ResolutionConfig()) -> DataFrame:
-    """(document_id, token, w): what a token of the query adds to the document's score."""
-    sizes = records.select(F.size(t.domain_tokens(F.col("text"))).alias("n")).agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("average")).first()
+def bm25_weights(tokens: DataFrame, config: ResolutionConfig = ResolutionConfig()) -> DataFrame:
+    """(document_id, token, w) of tokenized() records: what a token of the query adds to the document's score."""
+    sizes = tokens.agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size("tokens")).alias("average")).first()
     average = sizes["average"] or 1.0
+    post = postings(tokens)
     tf = F.col("tf")
     norm = tf + config.k1 * (1 - config.b + config.b * F.col("length") / F.lit(float(average)))
-    return post.join(bm25_idf(post, sizes["docs"]), "token").select("document_id", "token", (F.col("idf") * tf * (config.k1 + 1) / norm).alias("w"))
+    weighted = post.join(bm25_idf(post, sizes["docs"]), "token").select("document_id", "token", (F.col("idf") * tf * (config.k1 + 1) / norm).alias("w"))
+    return materialize(weighted, "case-weights")
 
 
 def symmetric_bm25(queries: DataFrame, weights: DataFrame) -> DataFrame:
@@ -149,7 +155,10 @@ def conflicts(pairs: DataFrame, profile: DataFrame, soft: float = 0.35) -> DataF
 
 
 def judged(top: DataFrame, records: DataFrame, config: ResolutionConfig = ResolutionConfig()) -> DataFrame:
-    """Candidates with conflicts and the score after the veto."""
+    """Candidates with conflicts and the score after the veto; only records that are a candidate or a query are searched for mentions."""
+    top = materialize(top, "case-top")
+    used = top.select(F.explode(F.array("query_id", "document_id")).alias("document_id")).distinct()
+    records = records.join(used, "document_id", "left_semi")
     final = F.when(F.col("hard"), 0.0).otherwise(F.col("score"))
     return conflicts(top, profiles(records)).withColumn("final_score", final).withColumn("same_case", final > config.threshold)
 
@@ -157,7 +166,7 @@ def judged(top: DataFrame, records: DataFrame, config: ResolutionConfig = Resolu
 def decisions(queries: DataFrame, records: DataFrame, vectors: DataFrame, config: ResolutionConfig = ResolutionConfig()) -> DataFrame:
     """Candidate decisions of the queries: scores, conflicts, and the score after the veto."""
     recs = clean_records(records)
-    weights = bm25_weights(postings(recs), recs, config)
+    weights = bm25_weights(tokenized(recs), config)
     top = candidates(hybrid(symmetric_bm25(queries, weights), unit_vectors(vectors), config), config.top_k)
     return judged(top, recs, config)
 
@@ -221,10 +230,8 @@ def all_candidates(records: DataFrame, vectors: DataFrame, config: ResolutionCon
     Blocks of at most about `block` records meet blocks of records: nothing is left out, also pairs without a shared token are
     scored, and the work grows with the square of the records. Memory is bounded by the block.
     """
-    from wrenmill.runtime import materialize
-
     recs = clean_records(records)
-    w = bm25_weights(postings(recs), recs, config)
+    w = bm25_weights(tokenized(recs), config)
     lists = w.groupBy("document_id").agg(F.collect_list(F.struct(F.xxhash64("token").alias("t"), "w")).alias("l"), F.sum("w").alias("own"))
     full = recs.select("document_id").join(lists, "document_id", "left").join(unit_vectors(vectors), "document_id", "left")
     none = lambda c, kind: F.coalesce(c, F.array().cast(kind))

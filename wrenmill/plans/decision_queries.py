@@ -19,12 +19,13 @@ def searched(spark: SparkSession, d: str) -> DataFrame:
 
 def _weights(spark: SparkSession, d: str) -> DataFrame:
     recs = res.clean_records(table(spark, d, "records"))
-    return res.bm25_weights(res.postings(recs), recs)
+    return res.bm25_weights(res.tokenized(recs))
 
 
 def s1_bm25_idf(spark: SparkSession, d: str) -> DataFrame:
     recs = res.clean_records(table(spark, d, "records"))
-    return res.bm25_idf(res.postings(recs), recs.count()).select("token", "df", F.round("idf", 6).alias("idf"))
+    tokens = res.tokenized(recs)
+    return res.bm25_idf(res.postings(tokens), tokens.count()).select("token", "df", F.round("idf", 6).alias("idf"))
 
 
 def s2_self_score(spark: SparkSession, d: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wrenmill.operators import concepts, patterns, resolution
+from wrenmill.operators import graph_checks as checks
 from wrenmill.plans import text_queries as tq
 from wrenmill.runtime import materialize, table
 
@@ -28,20 +29,9 @@ def _arcs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def g12_graph_checks(spark: SparkSession, d: str) -> DataFrame:
-    """Violations of the graph rules by kind: duplicate and dangling objects, foreign cases, unknown roles and relation types."""
+    """Violations of the graph rules by kind; a case's documents are those that its rows name."""
     n, e = table(spark, d, "event_nodes"), table(spark, d, "relation_edges")
-    kind = lambda df, name: df.select(F.lit(name).alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
-    first = n.groupBy("uid").agg(F.min("case_id").alias("node_case"), F.count(F.lit(1)).alias("k"))
-    ends = e.select("uid", "case_id", F.explode(F.array("head_uid", "tail_uid")).alias("end")).join(first.select(F.col("uid").alias("end"), "node_case"), "end", "left")
-    parts = [
-        kind(first.filter("k > 1"), "duplicate_node"), kind(e.groupBy("uid").count().filter("count > 1"), "duplicate_edge"),
-        kind(n.filter(~F.col("role").isin(*patterns.ROLES)), "unknown_role"), kind(e.filter(~F.col("relation_type").isin("CAUSE", "TREAT", "VERIFY", "TEMPORAL")), "unknown_relation"),
-        kind(ends.filter("node_case IS NULL"), "dangling_end"), kind(ends.filter("node_case <> case_id"), "cross_case_end"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return checks.violations(n, e, checks.case_documents(n, e)).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
 def g13_case_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -50,6 +40,13 @@ def g13_case_summary(spark: SparkSession, d: str) -> DataFrame:
     return n.filter("case_id IS NOT NULL").join(e, "case_id", "left").withColumn("n_edges", F.coalesce("n_edges", F.lit(0)))
 
 
+def g13_corpus_summary(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus statistics as one row."""
+    n, e = table(spark, d, "event_nodes"), table(spark, d, "relation_edges")
+    s = checks.summary(n, e, checks.case_documents(n, e))
+    return s.select(*[F.round(c, 6).alias(c) if c.endswith(("ratio", "rate")) else F.col(c) for c in s.columns])
+
+
 def k3_near_mentions(spark: SparkSession, d: str) -> DataFrame:
     vals = materialize(concepts.values(_nodes(spark, d)), "k3-values")
     return concepts.near_values(vals).select("role", "a", "b", F.round("similarity", 6).alias("similarity"), "number_safe")
@@ -108,7 +105,7 @@ def g20_closure_risk(spark: SparkSession, d: str) -> DataFrame:
     return full.select("a", "b", "potential", "admitted", "unsupported", "highest", "distortion", "truncated", patterns.risk(F.col("unsupported"), F.col("highest"), F.col("shared"), semantic, F.col("evidence")).alias("risk"))
 
 
-QUERIES = {f.__name__: f for f in (g12_graph_checks, g13_case_summary, k3_near_mentions, g15_concepts, g16_patterns, g19_pattern_support, s25_evidence_features, s24_weighted_jaccard, g20_closure_risk)}
+QUERIES = {f.__name__: f for f in (g12_graph_checks, g13_case_summary, g13_corpus_summary, k3_near_mentions, g15_concepts, g16_patterns, g19_pattern_support, s25_evidence_features, s24_weighted_jaccard, g20_closure_risk)}
 
 _N = "n AS (SELECT uid, x.case_id AS case_id, x.role AS role, x.text AS text, x.document_id AS document_id FROM (SELECT uid, min(struct_pack(case_id, role, text, document_id)) AS x FROM event_nodes WHERE uid IS NOT NULL GROUP BY uid))"
 _VALUE = f"CASE WHEN length({tq.concept('text')}) > 0 THEN {tq.concept('text')} ELSE lower(text) END"
@@ -128,13 +125,26 @@ pt AS (SELECT case_id, path || '||' || rels AS signature, n AS nodes FROM (
 _FEATS = f"""{_PAT},
 ft AS (SELECT DISTINCT * FROM (SELECT case_id, 'role_concept:' || role || ':' || cid AS feature FROM m UNION ALL SELECT case_id, 'arc:' || sr || ':' || sc || '>' || rel || '>' || tr || ':' || tc FROM a UNION ALL SELECT case_id, 'pattern:' || signature FROM pt) WHERE case_id IS NOT NULL)"""
 _GRAMS = " UNION ALL ".join(f"SELECT role, value, n, unnest(list_transform(range(1, length(value) - {k - 2}), lambda i: substr(value, i::INT, {k}))) AS term FROM v WHERE length(value) >= {k}" for k in (2, 3, 4))
+_CHECKS = """cdoc AS (SELECT DISTINCT case_id, document_id FROM (SELECT case_id, document_id FROM event_nodes UNION ALL SELECT case_id, document_id FROM relation_edges) WHERE case_id IS NOT NULL AND document_id IS NOT NULL),
+f AS (SELECT uid, min(case_id) AS node_case, count(*) AS k FROM event_nodes WHERE uid IS NOT NULL GROUP BY uid),
+ends AS (SELECT x.case_id, x.uid, f.node_case FROM (SELECT uid, case_id, unnest([head_uid, tail_uid]) AS e FROM relation_edges) x LEFT JOIN f ON f.uid = x.e),
+src AS (SELECT 'cross_case_node_source' AS rule, uid, case_id, unnest(source_document_ids) AS document_id FROM event_nodes UNION ALL SELECT 'cross_case_edge_source', uid, case_id, unnest(source_document_ids) FROM relation_edges),
+r AS (SELECT 'duplicate_node_uid' AS rule, uid, node_case AS case_id FROM f WHERE k > 1 UNION ALL SELECT 'duplicate_edge_uid', uid, min(case_id) FROM relation_edges WHERE uid IS NOT NULL GROUP BY uid HAVING count(*) > 1
+  UNION ALL SELECT 'cross_case_node', uid, min(case_id) FROM event_nodes WHERE uid IS NOT NULL GROUP BY uid HAVING count(DISTINCT case_id) > 1
+  UNION ALL SELECT 'unknown_role', uid, case_id FROM event_nodes WHERE NOT coalesce(role IN ('PHENOMENON', 'FAILURE', 'ROOT_CAUSE', 'ACTION', 'VERIFICATION'), FALSE)
+  UNION ALL SELECT 'unknown_relation', uid, case_id FROM relation_edges WHERE NOT coalesce(relation_type IN ('CAUSE', 'TREAT', 'VERIFY', 'TEMPORAL'), FALSE)
+  UNION ALL SELECT 'dangling_edge', uid, case_id FROM ends WHERE node_case IS NULL UNION ALL SELECT 'cross_case_edge', uid, case_id FROM ends WHERE node_case <> case_id
+  UNION ALL SELECT DISTINCT rule, uid, case_id FROM src WHERE document_id IS NOT NULL AND case_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM cdoc WHERE cdoc.case_id = src.case_id AND cdoc.document_id = src.document_id))"""
 SQL = {
-    "g12_graph_checks": """WITH f AS (SELECT uid, min(case_id) AS node_case, count(*) AS k FROM event_nodes GROUP BY uid),
-ends AS (SELECT x.uid, x.case_id, f.node_case FROM (SELECT uid, case_id, unnest([head_uid, tail_uid]) AS e FROM relation_edges) x LEFT JOIN f ON f.uid = x.e),
-r AS (SELECT 'duplicate_node' AS rule FROM f WHERE k > 1 UNION ALL SELECT 'duplicate_edge' FROM (SELECT uid FROM relation_edges GROUP BY uid HAVING count(*) > 1)
-  UNION ALL SELECT 'unknown_role' FROM event_nodes WHERE role NOT IN ('PHENOMENON', 'FAILURE', 'ROOT_CAUSE', 'ACTION', 'VERIFICATION') UNION ALL SELECT 'unknown_relation' FROM relation_edges WHERE relation_type NOT IN ('CAUSE', 'TREAT', 'VERIFY', 'TEMPORAL')
-  UNION ALL SELECT 'dangling_end' FROM ends WHERE node_case IS NULL UNION ALL SELECT 'cross_case_end' FROM ends WHERE node_case <> case_id)
-SELECT rule, count(*) AS n FROM r GROUP BY rule""",
+    "g12_graph_checks": f"WITH {_CHECKS} SELECT rule, count(*) AS n FROM r GROUP BY rule",
+    "g13_corpus_summary": f"""WITH {_CHECKS}, k AS (SELECT case_id FROM event_nodes WHERE case_id IS NOT NULL UNION SELECT case_id FROM relation_edges WHERE case_id IS NOT NULL),
+n1 AS (SELECT uid, max(CASE WHEN source_span_valid THEN 1 ELSE 0 END) AS v, max(greatest(1, coalesce(len(source_event_ids), 0))) AS s FROM event_nodes WHERE uid IS NOT NULL AND case_id IS NOT NULL GROUP BY uid),
+e1 AS (SELECT uid, max(greatest(1, coalesce(len(source_relation_ids), 0))) AS s FROM relation_edges WHERE uid IS NOT NULL AND case_id IS NOT NULL GROUP BY uid)
+SELECT (SELECT count(*) FROM k) AS case_count, (SELECT count(*) FROM cdoc) AS document_count, (SELECT count(*) FROM n1) AS node_count, (SELECT count(*) FROM e1) AS edge_count,
+  (SELECT coalesce(sum(s), 0)::BIGINT FROM n1) AS source_event_count, (SELECT coalesce(sum(s), 0)::BIGINT FROM e1) AS source_relation_count,
+  round((SELECT count(*) FROM n1) / greatest(1, (SELECT sum(s) FROM n1)), 6) AS event_reconstruction_ratio, round((SELECT count(*) FROM e1) / greatest(1, (SELECT sum(s) FROM e1)), 6) AS relation_reconstruction_ratio,
+  (SELECT count(*) FROM (SELECT case_id FROM cdoc GROUP BY case_id HAVING count(*) > 1)) AS multi_document_case_count, round((SELECT sum(v) FROM n1) / greatest(1, (SELECT count(*) FROM n1)), 6) AS source_span_provenance_rate,
+  (SELECT count(DISTINCT case_id) FROM r WHERE case_id IS NOT NULL) AS case_boundary_violation_count""",
     "g13_case_summary": f"""WITH {_N}, e AS (SELECT case_id, count(DISTINCT uid) AS k FROM relation_edges WHERE uid IS NOT NULL GROUP BY case_id)
 SELECT n.case_id, count(*) AS n_nodes, count(DISTINCT document_id) AS n_documents, count(DISTINCT role) AS n_roles, coalesce(max(e.k), 0) AS n_edges FROM n LEFT JOIN e USING (case_id) WHERE n.case_id IS NOT NULL GROUP BY n.case_id""",
     "k3_near_mentions": f"""WITH {_N}, v AS (SELECT role, {_VALUE} AS value, count(*) AS n, min(text) AS text FROM n WHERE role IS NOT NULL AND text IS NOT NULL GROUP BY ALL),
