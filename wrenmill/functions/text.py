@@ -46,11 +46,20 @@ def _all(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def _grams(text: Column, size: int) -> Column:
-    """n-grams by code point of a text of at least `size` characters."""
+def bound(value: Column, then) -> Column:
+    """then(value) with value evaluated once: as the element of an array it is a variable, which no use of it computes again."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _pieces(text: Column, size: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (size - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(size)))
 
 
+def _grams(text: Column, size: int) -> Column:
+    """All n-grams of a text in order; a shorter text gives itself."""
+    return bound(text, lambda t: _pieces(t, size))
+
+
 def fold(text: Column) -> Column:
     """Caseless form: lower case with the sharp s opened."""
     return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
@@ -65,32 +74,35 @@ def domain_tokens(text: Column) -> Column:
 
 def gram_set(text: Column, size: int = 2) -> Column:
     """Distinct n-grams without white space; a shorter text is its own gram, an empty one has none."""
-    t = F.regexp_replace(fold(text), r"(?U)\s+", "")
-    return F.when(F.length(t) == 0, F.array().cast("array<string>")).when(F.length(t) < size, F.array(t)).otherwise(F.array_distinct(_grams(t, size)))
+    cut = lambda t: F.when(F.length(t) == 0, F.array().cast("array<string>")).when(F.length(t) < size, F.array(t)).otherwise(F.array_distinct(_pieces(t, size)))
+    return bound(F.regexp_replace(fold(text), r"(?U)\s+", ""), cut)
 
 
-def dice(left: Column, right: Column, size: int = 2) -> Column:
-    """Sørensen-Dice similarity of n-gram sets; 0 if either is empty."""
-    a, b = gram_set(left, size), gram_set(right, size)
+def set_dice(a: Column, b: Column) -> Column:
+    """Sørensen-Dice similarity of two sets; 0 if either is empty."""
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(2.0 * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b)))
 
 
+def dice(left: Column, right: Column, size: int = 2) -> Column:
+    """set_dice() of n-gram sets."""
+    both = F.struct(gram_set(left, size).alias("l"), gram_set(right, size).alias("r"))
+    return bound(both, lambda x: set_dice(x["l"], x["r"]))
+
+
 def normalize_mention(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(fold(text), MENTION_MARKS, ""), MENTION_PREFIX, "")
 
 
 def mention_form(text: Column) -> Column:
-    """What mention_similarity() compares: the normalized mention and its n-gram set. Make it a column once where a mention meets several others."""
-    normal = normalize_mention(text)
-    return F.struct(normal.alias("normal"), gram_set(normal).alias("grams"))
+    """What form_similarity() compares: the normalized mention and its n-gram set. Make it a column once where a mention meets several others."""
+    return bound(normalize_mention(text), lambda n: F.struct(n.alias("normal"), gram_set(n).alias("grams")))
 
 
 def form_similarity(left: Column, right: Column) -> Column:
     """0 if empty, 1 if equal, at least .82 for containment, else Dice, of two mention_form() columns."""
     a, b = left["normal"], right["normal"]
     la, lb = F.length(a), F.length(b)
-    sizes = F.size(left["grams"]) + F.size(right["grams"])
-    d = F.when((F.size(left["grams"]) == 0) | (F.size(right["grams"]) == 0), 0.0).otherwise(2.0 * F.size(F.array_intersect(left["grams"], right["grams"])) / sizes)
+    d = set_dice(left["grams"], right["grams"])
     return (
         F.when((la == 0) | (lb == 0), 0.0)
         .when(a == b, 1.0)
@@ -101,9 +113,8 @@ def form_similarity(left: Column, right: Column) -> Column:
 
 def mention_similarity(left: Column, right: Column) -> Column:
     """form_similarity() of two texts."""
-    # a one-element array binds each form once, so that no branch normalizes or cuts it again
-    both = F.array(F.struct(mention_form(left).alias("l"), mention_form(right).alias("r")))
-    return F.transform(both, lambda x: form_similarity(x["l"], x["r"]))[0]
+    both = F.struct(mention_form(left).alias("l"), mention_form(right).alias("r"))
+    return bound(both, lambda x: form_similarity(x["l"], x["r"]))
 
 
 def token_set(text: Column) -> Column:

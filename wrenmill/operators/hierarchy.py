@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wrenmill.config import AssociationConfig
+from wrenmill.functions.text import bound
 from wrenmill.operators import case_merge, matching, patterns, resolution
 from wrenmill.runtime import materialize, numbered
 
@@ -20,10 +21,12 @@ from wrenmill.runtime import materialize, numbered
 
 
 def _grams(text: Column, low: int, high: int) -> Column:
-    t = F.regexp_replace(F.lower(text), r"(?U)\s\s+", " ")
-    piece = lambda n: lambda i: F.substr(t, i, F.lit(n))
-    each = [F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), piece(n))).otherwise(F.array().cast("array<string>")) for n in range(low, high + 1)]
-    return F.flatten(F.array(*each))
+    def cut(t: Column) -> Column:
+        piece = lambda n: lambda i: F.substr(t, i, F.lit(n))
+        each = [F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), piece(n))).otherwise(F.array().cast("array<string>")) for n in range(low, high + 1)]
+        return F.flatten(F.array(*each))
+
+    return bound(F.regexp_replace(F.lower(text), r"(?U)\s\s+", " "), cut)
 
 
 def role_vectors(nodes: DataFrame, role: str, low: int = 2, high: int = 4, most: int = 60_000) -> DataFrame:
