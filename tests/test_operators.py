@@ -72,7 +72,7 @@ def test_concepts_fold_duplicates_and_respect_numbers(spark):
 
 def test_patterns_and_closure(spark):
     node = "uid string, case_id string, role string, concept_id string"
-    rows = [(f"{c}{r}", c, patterns.ROLE[r], f"C_{r}") for c in "xy" for r in "PFRAV"]
+    rows = [(f"{c}{r}", c, role, f"C_{r}") for c in "xy" for r, role in zip("PFRAV", patterns.ROLES)]
     mapped = spark.createDataFrame(rows, node)
     edge = lambda c, i, h, t, k: (f"{c}{i}", c, f"{c}{h}", f"{c}{t}", k)
     edges = [edge("x", 1, "F", "P", "CAUSE"), edge("x", 2, "R", "F", "CAUSE"), edge("y", 1, "A", "R", "TREAT"), edge("y", 2, "V", "A", "VERIFY"), ("z", "y", None, "yP", "CAUSE"), ("w", "y", "yP", "none", "CAUSE")]
