@@ -164,3 +164,16 @@ tot AS (SELECT case_id, sum(idf) AS total FROM ft JOIN idf USING (feature) GROUP
 i AS (SELECT x.case_id AS query_case, y.case_id, sum(idf) AS shared FROM ft x JOIN ft y USING (feature) JOIN idf USING (feature) WHERE x.case_id <> y.case_id AND TRY_CAST(regexp_extract(x.case_id, '(\\d+)$', 1) AS BIGINT) % 100 = 0 GROUP BY ALL)
 SELECT query_case, i.case_id, round(shared / (p.total + q.total - shared), 6) AS evidence FROM i JOIN tot p ON p.case_id = query_case JOIN tot q ON q.case_id = i.case_id""",
 }
+
+_NEAR_VALUES = SQL["k3_near_mentions"].split("\nSELECT p.role")[0].replace("WITH ", "WITH RECURSIVE ", 1)
+SQL["g15_concepts"] = f"""{_NEAR_VALUES},
+ps AS (SELECT p.role, a, b FROM p JOIN v x ON x.role = p.role AND x.value = a JOIN v y ON y.role = p.role AND y.value = b WHERE NOT (len({tq.units('x.text')}) > 0 AND len({tq.units('y.text')}) > 0 AND {tq.units('x.text')} <> {tq.units('y.text')})),
+sy AS (SELECT role, a, b FROM ps UNION SELECT role, b, a FROM ps),
+re AS (SELECT role, a AS node, a AS seen FROM sy UNION SELECT re.role, re.node, sy.b FROM re JOIN sy ON sy.role = re.role AND sy.a = re.seen),
+cp AS (SELECT role, node AS value, min(seen) AS g FROM re GROUP BY ALL),
+pl AS (SELECT v.role, v.value, v.n, coalesce(cp.g, v.value) AS g FROM v LEFT JOIN cp USING (role, value)),
+lb AS (SELECT role, g, value AS label FROM pl QUALIFY row_number() OVER (PARTITION BY role, g ORDER BY n DESC, length(value) DESC, value) = 1),
+mp AS (SELECT pl.role, pl.value, label FROM pl JOIN lb USING (role, g)),
+nv AS (SELECT uid, case_id, role, {_VALUE} AS value FROM n WHERE role IS NOT NULL AND text IS NOT NULL)
+SELECT 'C_' || substr(role, 1, 3) || '_' || substr(sha1(role || '|' || label), 1, 12) AS concept_id, role, label, count(*) AS member_count, count(DISTINCT case_id) AS case_count, count(DISTINCT value) AS variant_count
+FROM nv JOIN mp USING (role, value) GROUP BY role, label"""
