@@ -88,3 +88,18 @@ def test_configs_check_themselves():
         ResolutionConfig(bm25_weight=0.5)
     with pytest.raises(ValueError):
         AssociationConfig(top_k=0)
+
+
+def test_near_contexts(spark):
+    unit = [1.0] + [0.0] * 63
+    other = [0.0, 1.0] + [0.0] * 62
+    rows = [("a", "FAILURE", "密封圈老化", ["d1"]), ("b", "FAILURE", "密封圈老化严重", ["d2"]), ("c", "FAILURE", "密封圈老化严重", ["d1"]), ("d", "FAILURE", "裂纹2mm", ["d3"]), ("e", "FAILURE", "裂纹3mm", ["d4"]), ("f", "ACTION", "密封圈老化", ["d5"]), ("g", "FAILURE", None, ["d6"]), ("h", "FAILURE", "密封圈老化", ["d7"])]
+    nodes = spark.createDataFrame(rows, "uid string, role string, text string, documents array<string>")
+    v = spark.createDataFrame([(r[0], other if r[0] == "h" else unit) for r in rows], "uid string, v array<double>")
+    got = {(r.a, r.b): r for r in concepts.near_contexts(nodes, v).collect()}
+    assert not any({"f", "g", "h"} & set(p) for p in got)
+    assert got["a", "b"].accepted and not got["a", "c"].accepted and got["a", "c"].same_document and not got["d", "e"].number_safe and not got["a", "d"].anchored
+    full = nodes.selectExpr("uid", "'x' AS case_id", "role", "text", "documents[0] AS document_id")
+    ids = {r.uid: r.concept_id for r in concepts.canonicalize(full, contexts=concepts.near_contexts(nodes, v))[0].collect()}
+    assert ids["a"] == ids["b"] == ids["c"] == ids["h"] and ids["d"] != ids["e"]
+    assert concepts.near_contexts(nodes.limit(0), v).count() == 0

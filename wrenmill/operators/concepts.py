@@ -16,6 +16,9 @@ from wrenmill.runtime import materialize
 
 THRESHOLD = 0.92
 TOP_K = 10
+CONTEXT_THRESHOLD = 0.72
+CONTEXT_TOP_K = 50
+ROLES = ("PHENOMENON", "FAILURE", "ROOT_CAUSE", "ACTION", "VERIFICATION")
 
 
 def clean_nodes(nodes: DataFrame) -> DataFrame:
@@ -68,12 +71,50 @@ def near_values(vals: DataFrame, threshold: float = THRESHOLD, k: int = TOP_K) -
     return pairs.join(text("a"), ["role", "a"]).join(text("b"), ["role", "b"]).select("role", "a", "b", "similarity", t.number_safe(F.col("ta"), F.col("tb")).alias("number_safe"))
 
 
-def canonicalize(nodes: DataFrame, threshold: float = THRESHOLD, k: int = TOP_K) -> tuple[DataFrame, DataFrame]:
-    """(uid, concept_id) of every node, and the concepts; the label is the commonest value, then the longest, then the first."""
+def near_contexts(nodes: DataFrame, vectors: DataFrame, threshold: float = CONTEXT_THRESHOLD, k: int = CONTEXT_TOP_K) -> DataFrame:
+    """(role, a, b, similarity, number_safe, anchored, same_document, accepted), a < b: nodes of one role whose context vectors are near.
+
+    nodes: uid, role, text, documents (an array); vectors: uid, v of length 1. A pair is among the k nearest of either node and at the threshold or above. It is accepted
+    if its numbers allow, one text holds the other or they share 0.7 of their pairs of characters, and they lie in different documents or are equal.
+    All nodes of a role are compared, in blocks.
+    """
+    from wrenmill.operators.case_merge import near_cases
+
+    v = t.concept_text(F.col("text"))
+    known = nodes.filter("role IS NOT NULL AND text IS NOT NULL").withColumn("value", F.when(F.length(v) > 0, v).otherwise(F.lower("text"))).select("uid", "role", "text", "value", "documents")
+    known = materialize(known.join(vectors.select("uid", "v"), "uid"), "context-nodes")
+    near = None
+    for role in ROLES:
+        some = near_cases(known.filter(F.col("role") == role).select(F.col("uid").alias("case_id"), "v"), k).select(F.lit(role).alias("role"), "a", "b", F.col("cosine").alias("similarity"))
+        near = some if near is None else near.unionByName(some)
+    side = lambda s: known.select(F.col("uid").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("text", "value", "documents")])
+    full = near.filter(F.col("similarity") >= threshold).join(side("a"), "a").join(side("b"), "b")
+    a, b = F.col("value_a"), F.col("value_b")
+    full = full.withColumns(
+        {
+            "number_safe": t.number_safe(F.col("text_a"), F.col("text_b")), "anchored": a.contains(b) | b.contains(a) | (t.gram_containment(a, b) >= 0.70),
+            "same_document": F.coalesce(F.arrays_overlap("documents_a", "documents_b"), F.lit(False)),
+        }
+    )
+    accepted = F.col("number_safe") & F.col("anchored") & (~F.col("same_document") | (a == b))
+    return full.select("role", "a", "b", "similarity", "number_safe", "anchored", "same_document", accepted.alias("accepted"))
+
+
+def canonicalize(nodes: DataFrame, threshold: float = THRESHOLD, k: int = TOP_K, contexts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(uid, concept_id) of every node, and the concepts; the label is the commonest value, then the longest, then the first.
+
+    contexts: near_contexts(), whose accepted pairs join the concepts of their values.
+    """
     vals = materialize(values(nodes), "concept-values")
     near = near_values(vals, threshold, k).filter("number_safe")
     key = lambda c: F.concat_ws("\x01", "role", c)
-    groups = components(near.select(key("a").alias("a"), key("b").alias("b")), "a", "b")
+    links = near.select(key("a").alias("a"), key("b").alias("b"))
+    if contexts is not None:
+        c = t.concept_text(F.col("text"))
+        own = nodes.filter("role IS NOT NULL AND text IS NOT NULL").select("uid", "role", F.when(F.length(c) > 0, c).otherwise(F.lower("text")).alias("value"))
+        side = lambda s: own.select(F.col("uid").alias(s), key("value").alias(f"k{s}"))
+        links = links.unionByName(contexts.filter("accepted").select("a", "b").join(side("a"), "a").join(side("b"), "b").select(F.col("ka").alias("a"), F.col("kb").alias("b")))
+    groups = components(links, "a", "b")
     placed = vals.withColumn("node", key("value")).join(groups, "node", "left").withColumn("g", F.coalesce("component", "node"))
     w = Window.partitionBy("role", "g").orderBy(F.desc("n"), F.desc(F.length("value")), "value")
     labels = placed.withColumn("rank", F.row_number().over(w)).filter("rank = 1").select("role", "g", F.col("value").alias("label"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wrenmill.config import AssociationConfig
-from wrenmill.operators import case_merge, hierarchy
+from wrenmill.operators import case_merge, concepts, hierarchy, resolution
 from wrenmill.plans import decision_queries as dq
 from wrenmill.plans import event_queries as eq
 from wrenmill.plans import hierarchy_queries as hq
@@ -24,6 +24,25 @@ def k2_near_cases(spark: SparkSession, d: str) -> DataFrame:
     return case_merge.near_cases(_vectors(spark, d), AssociationConfig().top_k).select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
+def _contexts(spark: SparkSession, d: str) -> DataFrame:
+    """Near contexts of the nodes; the vector of a node's document stands for that of its evidence unit."""
+    n = hq._nodes(spark, d)
+    sources = table(spark, d, "event_nodes").filter("uid IS NOT NULL").groupBy("uid").agg(F.min("source_document_ids").alias("s"))
+    named = F.filter(F.coalesce("s", F.array().cast("array<string>")), lambda x: x.isNotNull())
+    nodes = n.join(sources, "uid").select("uid", "role", "text", F.when(F.size(named) > 0, named).otherwise(F.array_compact(F.array("document_id"))).alias("documents"))
+    u = resolution.unit_vectors(table(spark, d, "document_vectors"))
+    return concepts.near_contexts(nodes, n.select("uid", "document_id").join(u, "document_id").select("uid", "v"))
+
+
+def k4_near_contexts(spark: SparkSession, d: str) -> DataFrame:
+    return _contexts(spark, d).withColumn("similarity", F.round("similarity", 6))
+
+
+def g15_context_concepts(spark: SparkSession, d: str) -> DataFrame:
+    """Concepts joined by near mentions and by near contexts."""
+    return concepts.canonicalize(hq._nodes(spark, d), contexts=materialize(_contexts(spark, d), "contexts"))[1]
+
+
 def g21_association_graph(spark: SparkSession, d: str) -> DataFrame:
     _, feats, idf = hq._features(spark, d)
     r = lambda c: F.round(c, 6).alias(c)
@@ -111,7 +130,7 @@ def g34_lineage(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.lineage(_catalog(spark, d)["instances"], topics)
 
 
-QUERIES = {f.__name__: f for f in (k2_near_cases, g21_association_graph, s20_role_vectors, s21_role_similarity, g25_backbone_units, g26_witnesses, g27_matching, g28_units, s22_topic_similarity, s28_unit_scores, g31_shared_patterns, g32_pattern_catalog, g32_pattern_instances, g33_unified_edges, g34_lineage)}
+QUERIES = {f.__name__: f for f in (k2_near_cases, k4_near_contexts, g15_context_concepts, g21_association_graph, s20_role_vectors, s21_role_similarity, g25_backbone_units, g26_witnesses, g27_matching, g28_units, s22_topic_similarity, s28_unit_scores, g31_shared_patterns, g32_pattern_catalog, g32_pattern_instances, g33_unified_edges, g34_lineage)}
 
 _K = AssociationConfig().top_k
 _CASE_VECTORS = f"""{dq._UNIT},
@@ -132,7 +151,16 @@ ri AS (SELECT term, ln(((SELECT count(*) FROM rd) + 1.0) / (count(*) + 1.0)) + 1
 rw AS (SELECT case_id, term, (1 + ln(tf)) * idf AS w FROM rt JOIN ri USING (term) WHERE case_id IS NOT NULL),
 rv AS (SELECT case_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY case_id)) AS w FROM rw)"""
 _WEIGHTS = f"{AssociationConfig().semantic_weight} * semantic + {AssociationConfig().evidence_weight} * evidence"
+_HOLDS = f"(contains(x.value, y.value) OR contains(y.value, x.value) OR {tq.containment('x.value', 'y.value')} >= 0.70)"
 SQL = {
+    "k4_near_contexts": f"""WITH {dq._UNIT},
+nd AS (SELECT uid, x.case_id AS case_id, x.role AS role, x.text AS text, x.document_id AS document_id FROM (SELECT uid, min(struct_pack(case_id, role, text, document_id)) AS x FROM event_nodes WHERE uid IS NOT NULL GROUP BY uid)),
+sd AS (SELECT uid, list_filter(coalesce(min(source_document_ids), []), lambda z: z IS NOT NULL) AS s FROM event_nodes WHERE uid IS NOT NULL GROUP BY uid),
+kn AS (SELECT uid, role, text, {hq._VALUE} AS value, CASE WHEN len(s) > 0 THEN s WHEN document_id IS NULL THEN [] ELSE [document_id] END AS docs, v FROM nd JOIN sd USING (uid) JOIN u USING (document_id) WHERE role IN ('PHENOMENON', 'FAILURE', 'ROOT_CAUSE', 'ACTION', 'VERIFICATION') AND text IS NOT NULL),
+nn AS (SELECT x.role, x.uid AS p, y.uid AS q, list_dot_product(x.v, y.v) AS s FROM kn x JOIN kn y ON x.role = y.role AND x.uid <> y.uid QUALIFY row_number() OVER (PARTITION BY x.uid ORDER BY round(s, 9) DESC, y.uid) <= 50),
+pr AS (SELECT role, least(p, q) AS a, greatest(p, q) AS b, max(s) AS similarity FROM nn GROUP BY ALL HAVING max(s) >= 0.72),
+fl AS (SELECT pr.*, NOT (len({tq.units('x.text')}) > 0 AND len({tq.units('y.text')}) > 0 AND {tq.units('x.text')} <> {tq.units('y.text')}) AS number_safe, {_HOLDS} AS anchored, list_has_any(x.docs, y.docs) AS same_document, x.value = y.value AS same FROM pr JOIN kn x ON x.uid = a JOIN kn y ON y.uid = b)
+SELECT role, a, b, round(similarity, 6) AS similarity, number_safe, anchored, same_document, number_safe AND anchored AND (NOT same_document OR same) AS accepted FROM fl""",
     "k2_near_cases": f"WITH {_NEAR} SELECT a, b, round(cosine, 6) AS cosine FROM near",
     "s29_case_vectors": f"WITH {_CASE_VECTORS} SELECT case_id, round(list_sum(v), 6) AS total FROM cv",
     "s20_role_vectors": f"WITH {_ROLE_VECTORS} SELECT case_id, count(*) AS n_terms, round(sum(w), 6) AS total FROM rv GROUP BY case_id",
