@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from wrenmill.config import ResolutionConfig
 from wrenmill.functions import text as t
-from wrenmill.runtime import materialize, numbered
+from wrenmill.runtime import materialize, numbered, spread
 
 # Words of systems and component families.
 SYSTEMS = {
@@ -49,7 +49,7 @@ def clean_records(records: DataFrame) -> DataFrame:
 
 def tokenized(records: DataFrame) -> DataFrame:
     """(document_id, tokens), written once: every step of BM25 reads this table."""
-    return materialize(records.select("document_id", t.domain_tokens(F.col("text")).alias("tokens")), "case-tokens")
+    return materialize(spread(records).select("document_id", t.domain_tokens(F.col("text")).alias("tokens")), "case-tokens")
 
 
 def postings(tokens: DataFrame) -> DataFrame:
@@ -158,7 +158,7 @@ def judged(top: DataFrame, records: DataFrame, config: ResolutionConfig = Resolu
     """Candidates with conflicts and the score after the veto; only records that are a candidate or a query are searched for mentions."""
     top = materialize(top, "case-top")
     used = top.select(F.explode(F.array("query_id", "document_id")).alias("document_id")).distinct()
-    records = records.join(used, "document_id", "left_semi")
+    records = spread(records.join(used, "document_id", "left_semi"))
     final = F.when(F.col("hard"), 0.0).otherwise(F.col("score"))
     return conflicts(top, profiles(records)).withColumn("final_score", final).withColumn("same_case", final > config.threshold)
 

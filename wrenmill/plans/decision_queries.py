@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wrenmill.operators import relation_states as r
 from wrenmill.operators import resolution as res
 from wrenmill.plans import text_queries as tq
-from wrenmill.runtime import materialize, table
+from wrenmill.runtime import materialize, spread, table
 
 
 def searched(spark: SparkSession, d: str) -> DataFrame:
@@ -86,7 +86,7 @@ def relation_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _featured(spark: SparkSession, d: str) -> DataFrame:
-    f = r.features(relation_pairs(spark, d))
+    f = r.features(spread(relation_pairs(spark, d)))
     # no encoder here: the lexical similarities stand in for the semantic ones
     stand_in = {"bge_direct_head_text": "direct_head_text", "bge_direct_tail_text": "direct_tail_text", "bge_reverse_head_text": "reverse_head_text", "bge_reverse_tail_text": "reverse_tail_text", "relation_semantic_similarity": "evidence_similarity"}
     return f.withColumns({k: F.col(v) for k, v in stand_in.items()})

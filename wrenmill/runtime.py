@@ -56,6 +56,12 @@ def materialize(df: DataFrame, name: str = "cut", partitions: int | None = None,
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, for steps whose work per row outweighs the move of a small table; adaptive planning sizes partitions by bytes alone."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def release(*frames: DataFrame | None) -> None:
     """Delete the tables that materialize() wrote for frames no longer needed by any plan."""
     for df in frames:
