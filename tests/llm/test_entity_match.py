@@ -1,7 +1,9 @@
 """Retrieval of entity matching against scoring every pair, and the edges of the operator."""
 
+import datetime as dt
 import random
 
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from wrenmill.llm import entity_match as m
@@ -52,3 +54,38 @@ def test_tokens():
     serials, numbers, words = m.tokens(m.clean("LX4-1234567 ｇａｐ 2,50 mm 滑油渗漏"), m.clean("s/n lx47654321"))
     assert "1234567" in serials and "7654321" in serials and numbers == ["2.5"] and {"gap", "^gap", "滑油", "油渗"} <= set(words)
     assert m.day_of("2023年5月4日") == m.day_of("4 May 2023") == m.day_of("04.05.2023") and m.day_of("soon") is None
+
+
+def busy(n=3000, seed=5):
+    """Records and entries as in large tables: an engine number is more than half of an entry, and most are near to several others; the pairs, and those that share no word."""
+    rng = random.Random(seed)
+    words = [a + b for a in ("oil", "fuel", "seal", "fan", "hose", "gear") for b in ("leak", "crack", "wear", "noise")]
+    engines = [f"{x:07d}" for x in rng.sample(range(20 * n), n // 2)]
+    day = lambda: str(dt.date(2021, 1, 1) + dt.timedelta(rng.randrange(60)))
+    records, entries, pairs, foreign = [], [], set(), set()
+    for i in range(n):
+        unit, on, said = rng.choice(engines), day(), rng.sample(words, 3)
+        records.append((f"D{i}", f"unit LX4-{unit} {' '.join(said)} found", f"{on} 08:00:00"))
+        if i % 10 < 6:
+            pairs.add((f"D{i}", f"W{i}"))
+            if i % 20 == 0:
+                foreign.add((f"D{i}", f"W{i}"))
+            entries.append((f"W{i}", f"LX4-{unit}", on, "sonstige Arbeit erledigt" if i % 20 == 0 else " ".join(said[: 1 + i % 3])))
+        else:
+            entries.append((f"X{i}", f"LX4-{int(unit) + 4321000:07d}", day(), " ".join(rng.sample(words, 1 + i % 3))))
+    return spark_rows(records, "document_id string, text string, recorded_at string"), spark_rows(entries, "entry_id string, unit_ref string, opened_on string, summary string"), pairs, foreign
+
+
+def spark_rows(rows, schema):
+    return SparkSession.getActiveSession().createDataFrame(rows, schema)
+
+
+def test_engine_and_day_suffice_in_large_tables(spark):
+    records, entries, pairs, foreign = busy()
+    # a record filed again is a match as well; two records that differ in the engine alone are not both meant by an entry without one
+    records = records.unionByName(spark_rows([("C1", "unit LX4-7000001 fanwear found", "2021-01-05 08:00:00"), ("C2", "unit LX4-7000001 fanwear found", "2021-01-05 08:00:00")], records.schema))
+    records = records.unionByName(spark_rows([("T1", "unit LX4-8000001 aileron stuck", "2021-01-05 08:00:00"), ("T2", "unit LX4-9000002 aileron stuck", "2021-01-05 08:00:00")], records.schema))
+    entries = entries.unionByName(spark_rows([("C", "LX4-7000001", "2021-01-05", "fanwear"), ("T", None, "2021-01-05", "aileron stuck")], entries.schema))
+    got = {(x.document_id, x.entry_id) for x in m.match(records.withColumn("recorded_at", F.to_timestamp("recorded_at")), entries).collect()}
+    assert {("C1", "C"), ("C2", "C")} <= got and not {("T1", "T"), ("T2", "T")} <= got
+    assert len(foreign & got) >= 0.9 * len(foreign) and len(pairs & got) >= 0.95 * len(pairs) and len(pairs & got) >= 0.95 * len(got)
