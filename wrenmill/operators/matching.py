@@ -1,13 +1,15 @@
 """Maximum-weight matching of a general graph, by the primal-dual blossom method, run per connected component.
 
-Vertices carry duals, sets of odd size shrink to blossoms with duals of their own; a phase grows alternating trees from all free vertices along tight
-edges, shrinks odd cycles, expands blossoms whose dual runs out, and ends with an augmenting path or when no dual is left. Weights are
+Vertices carry duals, sets of odd size shrink to blossoms with duals of their own. Each free vertex in turn grows one alternating tree along tight
+edges, shrinks odd cycles, expands blossoms whose dual runs out, and ends with an augmenting path to another free vertex, or where the dual of an
+even vertex runs out: that one stays free in its stead. A search looks at its own tree and what borders on it, not at the whole component. Weights are
 integers of 1e-9 here, so that tightness is exact; edges of no positive weight are never used.
 """
 
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -29,8 +31,8 @@ class Blossoms:
         for u, v, w in edges:
             if w > 0 and u != v and w > self.links[u].get(v, (0, 0, 0))[2]:
                 self.links[u][v], self.links[v][u] = (u, v, w), (v, u, w)
-        top = max((w for u in self.links.values() for _, _, w in u.values()), default=0)
-        self.dual = {x: top for x in range(1, n + 1)}
+        # the heaviest edge of each vertex: no edge weighs more than half of the two duals together
+        self.dual = {x: max((w for _, _, w in self.links[x].values()), default=0) for x in range(1, n + 1)}
         self.mate = dict.fromkeys(range(1, n + 1), 0)
         self.top = {x: x for x in range(1, n + 1)}
         self.part: dict[int, list[int]] = {}
@@ -45,9 +47,6 @@ class Blossoms:
     def reduced(self, e: tuple[int, int, int]) -> int:
         return self.dual[e[0]] + self.dual[e[1]] - 2 * e[2]
 
-    def tops(self) -> list[int]:
-        return [x for x in range(1, self.size + 1) if self.top.get(x) == x]
-
     def offer(self, u: int, x: int) -> None:
         old = self.slack.get(x, 0)
         if not old or self.reduced(self.links[u][x]) < self.reduced(self.links[old][x]):
@@ -169,68 +168,92 @@ class Blossoms:
             self.links[y].pop(b, None)
 
     def tight(self, e: tuple[int, int, int]) -> bool:
-        """Take a tight edge into the trees; True if it completes an augmenting path."""
+        """Take a tight edge into the tree; True if it completes an augmenting path."""
         u, v = self.top[e[0]], self.top[e[1]]
         if self.label.get(v, -1) == -1:
+            if not self.mate[v]:
+                self.augment(u, v)
+                self.marry(v, u)
+                return True
             self.parent[v], self.label[v] = e[0], 1
             mate = self.top[self.mate[v]]
             self.slack[v] = self.slack[mate] = 0
             self.label[mate] = 0
             self.push(mate)
         elif self.label[v] == 0:
-            base = self.meet(u, v)
-            if not base:
-                self.augment(u, v)
-                self.augment(v, u)
-                return True
-            self.shrink(u, base, v)
+            self.shrink(u, self.meet(u, v), v)
         return False
 
-    def phase(self) -> bool:
-        """One augmentation; False if none gains."""
+    def free(self, x: int, u: int) -> None:
+        """Leave the vertex u of x without a mate."""
+        self.mate[x] = 0
+        if x > self.n:
+            y = self.inner[x][u]
+            at = self.turn(x, y)
+            cycle = self.part[x]
+            for i in range(at):
+                self.marry(cycle[i], cycle[i ^ 1])
+            self.free(y, u)
+            cycle[:] = cycle[at:] + cycle[:at]
+
+    def exchange(self, u: int) -> None:
+        """Turn the path from the root to the even vertex u, which stays free."""
+        x = self.top[u]
+        odd = self.top[self.mate[x]] if self.mate[x] else 0
+        self.free(x, u)
+        if odd:
+            up = self.top[self.parent[odd]]
+            self.marry(odd, up)
+            self.augment(up, odd)
+
+    def vertices(self, x: int) -> Iterable[int]:
+        return (x,) if x <= self.n else self.inner[x]
+
+    def search(self, root: int) -> None:
+        """One tree, from a free vertex whose dual is not yet 0."""
         self.label, self.slack, self.queue = {}, {}, deque()
-        for x in self.tops():
-            self.label[x] = -1
-        for x in self.tops():
-            if not self.mate[x]:
-                self.parent[x], self.label[x] = 0, 0
-                self.push(x)
-        if not self.queue:
-            return False
+        x = self.top[root]
+        self.parent[x], self.label[x] = 0, 0
+        self.push(x)
         while True:
             while self.queue:
                 u = self.queue.popleft()
-                if self.label[self.top[u]] == 1:
+                if self.label.get(self.top[u]) != 0:
                     continue
                 for v, e in list(self.links[u].items()):
                     if v > self.n or self.top[u] == self.top[v]:
                         continue
                     if self.reduced(e) == 0:
                         if self.tight(e):
-                            return True
+                            return
                     elif u in self.links[self.top[v]]:
                         self.offer(u, self.top[v])
-            tops = self.tops()
-            bounds = [self.dual[b] // 2 for b in tops if b > self.n and self.label.get(b) == 1]
-            for x in tops:
-                if self.slack.get(x) and self.label[x] != 1:
-                    left = self.reduced(self.links[self.slack[x]][x])
-                    bounds.append(left if self.label[x] == -1 else left // 2)
-            free = [u for u in range(1, self.n + 1) if self.label[self.top[u]] == 0]
-            step = min([*bounds, min(self.dual[u] for u in free)])
-            if min(self.dual[u] for u in free) <= step:
-                return False
-            for u in range(1, self.n + 1):
-                self.dual[u] += {0: -step, 1: step}.get(self.label[self.top[u]], 0)
-            for b in tops:
+            sides: tuple[list[int], list[int]] = ([], [])
+            for x, l in self.label.items():
+                if l >= 0 and self.top.get(x) == x:
+                    sides[l].append(x)
+            step, least = min((self.dual[u], u) for x in sides[0] for u in self.vertices(x))
+            for b in sides[1]:
                 if b > self.n:
-                    self.dual[b] += {0: 2 * step, 1: -2 * step}.get(self.label[b], 0)
-            for x in tops:
+                    step = min(step, self.dual[b] // 2)
+            border = [x for x, u in self.slack.items() if u and self.top.get(x) == x and self.label.get(x) != 1]
+            for x in border:
+                left = self.reduced(self.links[self.slack[x]][x])
+                step = min(step, left if self.label.get(x, -1) == -1 else left // 2)
+            for change, side in zip((-step, step), sides):
+                for x in side:
+                    for u in self.vertices(x):
+                        self.dual[u] += change
+                    if x > self.n:
+                        self.dual[x] -= 2 * change
+            if not self.dual[least]:
+                return self.exchange(least)
+            for x in border:
                 if self.top.get(x) == x and self.slack.get(x) and self.top[self.slack[x]] != x:
                     e = self.links[self.slack[x]][x]
                     if self.reduced(e) == 0 and self.tight(e):
-                        return True
-            for b in tops:
+                        return
+            for b in sides[1]:
                 if b > self.n and self.top.get(b) == b and self.label.get(b) == 1 and self.dual[b] == 0:
                     self.expand(b)
 
@@ -241,8 +264,9 @@ def heaviest(edges: list[tuple[str, str, float]]) -> list[tuple[str, str]]:
     place = {x: i + 1 for i, x in enumerate(names)}
     # even weights keep every dual step whole
     state = Blossoms(len(names), [(place[a], place[b], 2 * round(w * SCALE)) for a, b, w in sorted(edges)])
-    while state.phase():
-        pass
+    for x in range(1, len(names) + 1):
+        if not state.mate[x] and state.dual[x]:
+            state.search(x)
     return [(names[u - 1], names[v - 1]) for u, v in state.mate.items() if u <= state.n and v and u < v]
 
 
