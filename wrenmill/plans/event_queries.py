@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -71,13 +76,40 @@ def g7_ranked_relations(spark: SparkSession, d: str) -> DataFrame:
     return e.withColumn("rank", F.row_number().over(w)).filter("rank = 1").select("case_id", "relation_type", "uid")
 
 
+def _means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Unit means of the vectors of rows sorted by case; a case may go on in the next batch."""
+
+    def unit(ids: list[str], sums: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        m = sums / counts[:, None]
+        m = m / np.maximum(np.sqrt((m * m).sum(1)), 1e-12)[:, None]
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.ListArray.from_arrays(np.arange(0, m.size + 1, 64, dtype=np.int32), pa.array(m.ravel()))], ["case_id", "v"])
+
+    last, total, count = None, None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = batch["case_id"].to_numpy(zero_copy_only=False)
+        v = pc.list_flatten(batch["v"]).to_numpy(zero_copy_only=False).reshape(-1, 64)
+        at = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        names, sums, counts = list(ids[at]), np.add.reduceat(v, at, axis=0), np.diff(np.r_[at, len(ids)])
+        if last is not None:
+            if last == names[0]:
+                sums[0] += total
+                counts[0] += count
+            else:
+                names, sums, counts = [last, *names], np.vstack([total, sums]), np.r_[count, counts]
+        last, total, count = names[-1], sums[-1], counts[-1]
+        if len(names) > 1:
+            yield unit(names[:-1], sums[:-1], counts[:-1])
+    if last is not None:
+        yield unit([last], np.array([total]), np.array([count]))
+
+
 def _case_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """(case_id, v): unit mean of the vectors of a case's documents; map-side combined per component."""
+    """(case_id, v): unit mean of the vectors of a case's documents, in one pass over the documents sorted by case."""
     docs = concepts.clean_nodes(table(spark, d, "event_nodes")).filter("case_id IS NOT NULL AND document_id IS NOT NULL").select("case_id", "document_id").distinct()
     u = resolution.unit_vectors(table(spark, d, "document_vectors"))
-    sums = docs.join(u, "document_id").groupBy("case_id").agg(F.array(*[F.avg(F.col("v")[i]) for i in range(64)]).alias("m"))
-    norm = F.greatest(F.sqrt(F.aggregate("m", F.lit(0.0), lambda a, x: a + x * x)), F.lit(1e-12))
-    return sums.withColumn("norm", norm).select("case_id", F.transform("m", lambda x: x / F.col("norm")).alias("v"))
+    return docs.join(u, "document_id").repartition("case_id").sortWithinPartitions("case_id", "document_id").select("case_id", "v").mapInArrow(_means, "case_id string, v array<double>")
 
 
 def s29_case_vectors(spark: SparkSession, d: str) -> DataFrame:
