@@ -58,3 +58,27 @@ def test_g24_lists_all_cases_and_joins_those_that_are_no_query(spark, tmp_path):
     d = write(spark, tmp_path, event_nodes=(nodes, NODES), relation_edges=([], EDGES), document_vectors=(vectors, VECTORS))
     topic = {r.node: r.topic for r in entry.queries()["g24_backbone"](spark, d).collect()}
     assert topic == {"C_101": "C_101", "C_102": "C_101", "C_103": "C_103", "C_104": "C_104"}
+
+
+def test_k1_candidates_of_records_that_are_no_query(spark, tmp_path):
+    texts = {"D1": "oil pump bearing seized", "D2": "oil pump leaks", "D3": "cabin light broken", "D4": None}
+    d = write(spark, tmp_path, records=(list(texts.items()), RECORDS), document_vectors=([("D1", axis(0)), ("D3", axis(0))], VECTORS))
+    assert {tuple(r) for r in entry.queries()["k1_candidates"](spark, d).collect()} == {("D1", "D2", 1), ("D2", "D1", 1)}
+
+
+def test_blocks_score_as_the_join_of_postings(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(f"D{i:03d}", " ".join(rng.choice([f"w{k}" for k in range(30)], 6, p=np.arange(1, 31) / 465))) for i in range(120)] + [("D900", None)]
+    records = spark.createDataFrame(rows, RECORDS)
+    queries = records.select("document_id").filter("document_id LIKE '%0'")
+    weights = resolution.bm25_weights(resolution.tokenized(resolution.clean_records(records)))
+    kept = lambda df: {(r.query_id, r.document_id): round(r.bm25, 9) for r in df.collect()}
+    assert kept(resolution.bm25_pairs(queries, records, block=50)) == kept(resolution.symmetric_bm25(queries, weights))
+    docs = records.join(weights.groupBy("document_id").agg({"w": "sum"}), "document_id").toPandas()
+    lists = weights.toPandas().groupby("document_id").agg(tokens=("token", lambda x: [hash(t) for t in x]), w=("w", list), own=("w", "sum")).reset_index()
+    lists["v"] = None
+    asked = lists.rename(columns={c: f"q_{c}" for c in lists})
+    a, b, c = (resolution.Block(lists, common, rare).bm25(asked) for common, rare in ((2.0, 500), (2.0, 3), (0.1, 3)))
+    assert len(docs) == len(lists) and np.allclose(a, b, atol=1e-12) and np.allclose(a, c, atol=1e-12)
+    score = np.round(rng.random(5000), 3)
+    assert (resolution.best_of(score, 20) == np.lexsort((np.arange(5000), -score))[:20]).all()
