@@ -82,3 +82,13 @@ def test_blocks_score_as_the_join_of_postings(spark, monkeypatch):
     assert len(docs) == len(lists) and np.allclose(a, b, atol=1e-12) and np.allclose(a, c, atol=1e-12)
     score = np.round(rng.random(5000), 3)
     assert (resolution.best_of(score, 20) == np.lexsort((np.arange(5000), -score))[:20]).all()
+
+
+def test_g20_assesses_pairs_of_cases_that_are_no_query(spark, tmp_path):
+    ends = {"C_101": ("P1", "R1"), "C_102": ("R1", "A1"), "C_103": ("P9", "R9")}
+    role = {"P": "PHENOMENON", "R": "ROOT_CAUSE", "A": "ACTION"}
+    nodes = [(f"{c}:{i}", c, f"D{c}", role[x[0]], f"text {x}", 1.0) for c, xs in ends.items() for i, x in enumerate(xs)]
+    edges = [(f"{c}:e", c, f"{c}:0", f"{c}:1", "TEMPORAL") for c in ends]
+    d = write(spark, tmp_path, event_nodes=(nodes, NODES), relation_edges=(edges, EDGES), document_vectors=([("DC_101", axis(0))], VECTORS))
+    got = {(r.a, r.b): (r.potential, r.admitted, r.unsupported, r.highest, r.distortion, r.risk) for r in entry.queries()["g20_closure_risk"](spark, d).collect()}
+    assert got == {("C_101", "C_102"): (3, 2, 1, 3, round(1 / 3, 6), "C_shared_anchor_path_divergence")}
