@@ -66,3 +66,26 @@ def test_matching_of_a_large_component_searches_locally():
     began = time.time()
     found = matching.heaviest(rows)
     assert time.time() - began < 30 and len({x for p in found for x in p}) == 2 * len(found)
+
+
+def test_context_nodes_share_the_vector_of_their_document(spark):
+    from wrenmill.operators import concepts
+
+    rng = np.random.default_rng(13)
+    base = rng.standard_normal((3, 64))
+    docs = [(f"D{i}", (base[i % 3] + 0.3 * rng.standard_normal(64)).astype(np.float32).tolist()) for i in range(12)]
+    rows = [(f"u{i:02d}", ("PHENOMENON", "ACTION")[i % 2], f"text {i % 4}", [f"D{i % 12}"]) for i in range(40)]
+    nodes = spark.createDataFrame(rows, "uid string, role string, text string, documents array<string>")
+    key = nodes.select("uid", F.col("documents")[0].alias("key"))
+    shared = spark.createDataFrame(docs, "key string, v array<float>")
+    kept = lambda df: {(r.role, r.a, r.b, round(r.similarity, 9), r.accepted) for r in df.collect()}
+    found = concepts.near_contexts(nodes, key, k=3, shared=shared)
+    assert found.count() > 20 and kept(found) == kept(concepts.near_contexts(nodes, key.join(shared, "key").select("uid", "v"), k=3))
+    groups = key.join(nodes, "uid").groupBy("key").agg(F.collect_list(F.when(F.col("role") == "ACTION", 3).otherwise(0)).alias("roles"), F.collect_list("uid").alias("uids")).join(shared, "key")
+    assert {(r.a, r.b) for r in concepts.near_nodes(groups, 3, 0.72, block=5).collect()} == {(r.a, r.b) for r in found.collect()}
+    unit = {d: np.array(v, float) / np.linalg.norm(np.array(v, float)) for d, v in docs}
+    want = set()
+    for u, r, _, (d,) in rows:
+        near = sorted((-round(float(unit[d] @ unit[e]), 9), w) for w, q, _, (e,) in rows if q == r and w != u)[:3]
+        want |= {tuple(sorted((u, w))) for s, w in near if -s >= 0.72}
+    assert {(r.a, r.b) for r in found.collect()} == want
